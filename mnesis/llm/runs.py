@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnesis.shared import materialise
 from mnesis.tables import micros
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­‪-‮️]")
@@ -220,7 +221,8 @@ def collapse_runs(artifacts: DataFrame, partitions: int | None = None) -> DataFr
         .select("artifact_id", "r.*")
     )
     ordered = rows.repartitionByRange(n, "author", "us", "artifact_id").sortWithinPartitions("author", "us", "artifact_id")
-    pieces = ordered.mapInPandas(_runs_of_partition, _SCHEMA).persist()
+    pieces = ordered.mapInPandas(_runs_of_partition, _SCHEMA)
+    pieces = materialise(pieces, "runs")
     edges = pieces.where("head or tail").groupBy(F.lit("edges")).applyInPandas(_stitch, _SCHEMA)
     runs = pieces.where("not head and not tail").unionByName(edges).where("n_events > 1")
     return runs.select("author", "first_id", "last_id", "n_events", "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"))
