@@ -12,7 +12,7 @@ from mnesis.functions.vectors import cosine
 def recall(episodes: DataFrame, queries: DataFrame, k: int = 5, half_life: float = 168.0, least: float = 0.0, entity_score: Column | None = None) -> DataFrame:
     """``query_id, episode_id, relevance, rank``: the ``k`` best episodes of each query.
 
-    ``episodes``: ``episode_id, centroid, hours_old, memory, state``; ``queries``: ``query_id,
+    ``episodes``: ``episode_id, centroid, hours_old, memory, status``; ``queries``: ``query_id,
     query_vec``, a bounded set that is broadcast (checked: at most 10,000 rows). Similarity .50,
     entities .20, recency .15, memory .15. Archived episodes take no part. Ranks go by the score
     rounded to four places, then by id. Each task keeps only its own best ``k`` per query.
@@ -20,7 +20,7 @@ def recall(episodes: DataFrame, queries: DataFrame, k: int = 5, half_life: float
     if queries.limit(10_001).count() > 10_000:
         raise ValueError("recall takes at most 10,000 queries at a time")
     top_memory = episodes.agg(F.max("memory").alias("_top"))
-    scored = episodes.where("state <> 'archived'").crossJoin(F.broadcast(top_memory)).crossJoin(F.broadcast(queries))
+    scored = episodes.where("status <> 'archived'").crossJoin(F.broadcast(top_memory)).crossJoin(F.broadcast(queries))
     sem = F.greatest(F.coalesce(cosine("centroid", "query_vec"), F.lit(0.0)), F.lit(0.0))
     mem = F.when(F.col("_top") > 0, F.least(F.col("memory") / F.col("_top"), F.lit(1.0))).otherwise(0.0)
     ent = entity_score if entity_score is not None else F.lit(0.0)
@@ -55,4 +55,4 @@ def store_search(episodes: DataFrame, query_vec: Column, k: int = 5) -> DataFram
 def salience(episodes: DataFrame, k: int = 10) -> DataFrame:
     """Most salient episodes that are not archived: .6 memory and .4 recency."""
     score = 0.6 * F.col("memory") + 0.4 * half_life_recency(F.coalesce("hours_old", F.lit(1e9)))
-    return episodes.where("state <> 'archived'").select("episode_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "episode_id").limit(k)
+    return episodes.where("status <> 'archived'").select("episode_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "episode_id").limit(k)
