@@ -109,8 +109,8 @@ class LanguageModel:
 
     def probabilities(self, units: list[str]) -> np.ndarray:
         n = len(self.languages)
-        if not units:
-            return np.zeros((0, n))
+        if not units or not n:
+            return np.zeros((len(units), n))
         ids, at = subword_ids(units)
         counts = np.diff(np.append(at, len(ids)))
         out = np.tile(self.bias, (len(units), 1)).astype(np.float64)
@@ -213,6 +213,8 @@ def stretches(units: list[str], p: np.ndarray, model: LanguageModel, switch: flo
     The best path over the units' probabilities with a price for every change of language; units
     of few words and units the model rejects carry no evidence and go with their neighbours.
     """
+    if not model.languages:
+        return []
     n_words = np.array([len(_WORD.findall(u)) for u in units])
     sure = (n_words >= LEAST_WORDS) & (p.max(axis=1, initial=0) >= model.threshold)
     if not sure.any():

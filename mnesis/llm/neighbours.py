@@ -163,8 +163,9 @@ def _search(routed: DataFrame, cells, k: int) -> DataFrame:
             r, c, s = block.search(ids, Q, own, k)
             near = block.ids[c]
             cuts = np.flatnonzero(np.diff(r)) + 1
-            starts = np.concatenate(([0], cuts)) if len(r) else np.zeros(0, int)
-            return pd.DataFrame({"id": ids[r[starts]] if len(r) else [], "near": np.split(near, cuts) if len(r) else [], "sims": np.split(s, cuts) if len(r) else []})
+            if not len(r):
+                return pd.DataFrame({"id": pd.Series(dtype=str), "near": pd.Series(dtype=object), "sims": pd.Series(dtype=object)})
+            return pd.DataFrame({"id": ids[r[np.concatenate(([0], cuts))]], "near": np.split(near, cuts), "sims": np.split(s, cuts)})
 
         def close() -> Iterator[pd.DataFrame]:
             nonlocal block, held

@@ -182,15 +182,16 @@ def scan(texts: DataFrame, given: frozenset[str]) -> DataFrame:
 def disclosure(pieces: DataFrame, column: str) -> DataFrame:
     """Bits by which a word gives away that a piece beside it (or holding it) is personal.
 
-    ``word, family, bits``: the log ratio of the smoothed share of certain personal pieces among all
-    pieces with the word to their share among all pieces of the family (numbers or names).
+    ``family, word, bits``: the log ratio of how often the word occurs with certain personal pieces
+    and how often with the background of the family (other numbers, other names), each over its own
+    total and smoothed by half a count. Pieces of open form count on neither side.
     """
-    counts = pieces.groupBy("family", F.col(column).alias("word")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("certain").cast("int")).alias("c"), F.sum((~F.col("certain") & F.col("kind").isin("id_number", "person_name", "phone")).cast("int")).alias("u")
-    )
-    base = counts.groupBy("family").agg((F.sum("c") / F.greatest(F.sum("n") - F.sum("u"), F.lit(1))).alias("share"))
-    share = (F.col("c") + 4 * F.col("share")) / (F.col("n") - F.col("u") + 4)
-    return counts.join(base, "family").select("family", "word", F.log2(F.greatest(share, F.lit(1e-6)) / F.greatest("share", F.lit(1e-6))).alias("bits"))
+    personal, other = F.sum(F.col("certain").cast("int")), F.sum(F.col("kind").isin("number", "slot").cast("int"))
+    counts = pieces.groupBy("family", F.col(column).alias("word")).agg(personal.alias("c"), other.alias("o"))
+    totals = counts.groupBy("family").agg(F.sum("c").alias("all_c"), F.sum("o").alias("all_o"))
+    ratio = ((F.col("c") + 0.5) / (F.col("all_c") + 0.5)) / ((F.col("o") + 0.5) / (F.col("all_o") + 0.5))
+    seen = counts.where("c + o > 0").join(totals, "family")
+    return seen.select("family", "word", F.log2(ratio).alias("bits"))
 
 
 def find_personal(texts: DataFrame, persons: DataFrame) -> DataFrame:
