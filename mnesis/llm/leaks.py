@@ -18,6 +18,7 @@ MASKS = ("11101", "110101", "1011001")
 BLOCK_ITEMS = 20_000
 LEAST_WORDS, LEAST_SHARE = 20, 1 / 3
 COST, LEAST_EQUAL = 3.0, 0.88
+BAND, LEAST_HIT_SHARE = 16, 0.4
 
 _TOKEN = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[>\s]*(?=[^\W\d_])")
@@ -179,8 +180,14 @@ def _leaks_of(texts: list[str], index: SeedIndex) -> list[tuple[int, int, int, f
         for item in np.unique(o):
             mine = o == item
             need = max(LEAST_WORDS, int(np.ceil(index.n_words[item] * LEAST_SHARE)))
-            covered = np.unique(p[mine])
-            if len(covered) < 3:
+            # The hits of a stretch lie on neighbouring diagonals. One with a word in eight altered still
+            # has a hit at more than every second place; shared phrases about other facts are
+            # scattered over many diagonals and stay far below.
+            lane = (d[mine] - p[mine]) // BAND
+            lanes = {int(x): set() for x in np.unique(lane)}
+            for x, at in zip(lane.tolist(), p[mine].tolist()):
+                lanes[x].add(at)
+            if max(len(s | lanes.get(x + 1, set())) for x, s in lanes.items()) < LEAST_HIT_SHARE * need:
                 continue
             # a document may quote far-apart parts: align around the stretch of hits, with room for the rest
             words = index.words[item]
