@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,7 +60,7 @@ def is_structural_entity(form: Column, least: int = 2, most: int = 50) -> Column
     vowels = F.length(F.regexp_replace(low, f"[^{VOWELS}]", ""))
     return F.coalesce(
         F.length(s).between(least, most) & s.rlike(r"\p{L}") & ~s.rlike(EMOJI) & ~s.rlike(r"(.)\1{2}") & ~low.isin(MEDIA + PRONOUNS + INTERJECTIONS)
-        & ~((F.size(words) >= 2) & F.lower(words[0]).isin(LEADING)) & (vowels / F.length(letters) >= 0.15)
+        & ~((F.size(words) >= 2) & F.lower(words[0]).isin(LEADING)) & (vowels / F.nullif(F.length(letters), F.lit(0)) >= 0.15)
         & ~((F.size(words) == 1) & s.rlike(r"[0-9]")) & (F.size(words) <= 4),
         F.lit(False),
     )
@@ -115,10 +118,6 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def ratio_udf():
     """Longest-matching-blocks ratio of two strings; there is no built-in for it, so it runs in Arrow batches."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)])

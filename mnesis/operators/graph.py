@@ -53,7 +53,7 @@ def links_of(e: DataFrame, memory: DataFrame, queries: DataFrame, least_shared:
 
 
 def density(e: DataFrame) -> DataFrame:
-    return e.agg(F.countDistinct("episode").alias("n_episodes"), F.countDistinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_edges")).withColumn("density", F.col("n_edges") / (F.col("n_episodes") * F.col("n_entities")))
+    return e.agg(F.countDistinct("episode").alias("n_episodes"), F.countDistinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_edges")).withColumn("density", F.try_divide(F.col("n_edges"), F.col("n_episodes") * F.col("n_entities")))
 
 
 def to_dot(e: DataFrame, least_weight: float = 2, most_entities: int = 80, most_episodes: int = 50) -> str:

@@ -19,18 +19,18 @@ def agreement(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """
     cells = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows, cols = cells.groupBy("t").agg(F.sum("n").alias("n")), cells.groupBy("p").agg(F.sum("n").alias("n"))
-    cell = cells.agg(F.sum(_pairs(F.col("n"))).alias("both"), F.sum(F.col("n") * F.log("n")).alias("h_cell"), F.sum("n").alias("n"))
+    cell = cells.agg(F.sum(_pairs(F.col("n"))).alias("joint"), F.sum(F.col("n") * F.log("n")).alias("h_cell"), F.sum("n").alias("n"))
     a = rows.agg(F.sum(_pairs(F.col("n"))).alias("a"), F.sum(F.col("n") * F.log("n")).alias("h_a"), F.count(F.lit(1)).alias("n_true"))
     b = cols.agg(F.sum(_pairs(F.col("n"))).alias("b"), F.sum(F.col("n") * F.log("n")).alias("h_b"), F.count(F.lit(1)).alias("n_pred"))
     x = cell.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b))  # three rows in all
-    n = F.col("n")
-    expected = F.col("a") * F.col("b") / _pairs(n)
+    n, div = F.col("n"), F.try_divide  # an empty or one-row table has no pairs
+    expected = div(F.col("a") * F.col("b"), _pairs(n))
     limit = (F.col("a") + F.col("b")) / 2
-    ari = F.when(limit == expected, 1.0).otherwise((F.col("both") - expected) / (limit - expected))
-    h_t, h_p = F.log(n) - F.col("h_a") / n, F.log(n) - F.col("h_b") / n
-    info = F.log(n) + F.col("h_cell") / n - F.col("h_a") / n - F.col("h_b") / n
-    nmi = F.when((h_t + h_p) <= 1e-15, 1.0).otherwise(info / ((h_t + h_p) / 2))
-    return x.select(n.cast("bigint").alias("n"), ari.alias("ari"), nmi.alias("nmi"), "n_true", "n_pred", (F.col("n_pred") / F.col("n_true")).alias("fragmentation"))
+    ari = F.when((limit == expected) | (n < 2), 1.0).otherwise(div(F.col("joint") - expected, limit - expected))
+    h_t, h_p = F.log(n) - div(F.col("h_a"), n), F.log(n) - div(F.col("h_b"), n)
+    info = F.log(n) + div(F.col("h_cell") - F.col("h_a") - F.col("h_b"), n)
+    nmi = F.when((h_t + h_p) <= 1e-15, 1.0).otherwise(div(info, (h_t + h_p) / 2))
+    return x.select(n.cast("bigint").alias("n"), ari.alias("ari"), nmi.alias("nmi"), "n_true", "n_pred", F.try_divide(F.col("n_pred"), F.col("n_true")).alias("fragmentation"))
 
 
 def coherence(members: DataFrame, centroids: DataFrame, group: str, vec: str) -> DataFrame:

@@ -22,7 +22,7 @@ def recall(episodes: DataFrame, queries: DataFrame, k: int = 5, half_life: float
     top_memory = episodes.agg(F.max("memory").alias("_top"))
     scored = episodes.where("status <> 'archived'").crossJoin(F.broadcast(top_memory)).crossJoin(F.broadcast(queries))
     sem = F.greatest(F.coalesce(cosine("centroid", "query_vec"), F.lit(0.0)), F.lit(0.0))
-    mem = F.when(F.col("_top") > 0, F.least(F.col("memory") / F.col("_top"), F.lit(1.0))).otherwise(0.0)
+    mem = F.when(F.col("_top") > 0, F.least(F.coalesce("memory", F.lit(0.0)) / F.col("_top"), F.lit(1.0))).otherwise(0.0)
     ent = entity_score if entity_score is not None else F.lit(0.0)
     score = F.round(0.5 * sem + 0.2 * ent + 0.15 * half_life_recency(F.coalesce("hours_old", F.lit(1e9)), half_life) + 0.15 * F.coalesce(mem, F.lit(0.0)), 4)
     ranked = scored.select("query_id", "episode_id", score.alias("relevance")).where(F.col("relevance") >= least)
@@ -39,7 +39,7 @@ def recall_by_time(episodes: DataFrame, start_us: int, end_us: int, k: int = 10)
     inside = episodes.where((F.col("end_us") >= start_us) & (F.col("start_us") <= end_us)).crossJoin(F.broadcast(top))
     overlap = F.greatest((F.least("end_us", F.lit(end_us)) - F.greatest("start_us", F.lit(start_us))) / 1e6, F.lit(1.0))
     span = F.least(F.greatest((F.col("end_us") - F.col("start_us")) / 1e6, F.lit(1.0)), F.lit(max((end_us - start_us) / 1e6, 1.0)))
-    score = F.round(0.7 * F.least(overlap / span, F.lit(1.0)) + 0.3 * F.col("memory") / F.col("_top"), 4)
+    score = F.round(0.7 * F.least(overlap / span, F.lit(1.0)) + 0.3 * F.coalesce(F.try_divide(F.col("memory"), F.col("_top")), F.lit(0.0)), 4)
     return inside.select("episode_id", "start_us", "end_us", score.alias("relevance")).orderBy(F.col("relevance").desc(), "episode_id").limit(k)
 
 

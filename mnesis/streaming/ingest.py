@@ -58,12 +58,12 @@ class Conversation:
             return "NEW", self._open(v)
         if v is not None:
             old = np.asarray(self.centroid) if self.centroid is not None else None
-            self.centroid = list(v if old is None or len(old) != len(v) else KEEP * old + (1 - KEEP) * v)
+            self.centroid = (v if old is None or len(old) != len(v) else KEEP * old + (1 - KEEP) * v).tolist()
         return "APPEND", self.current
 
     def _open(self, v) -> int:
         self.seen += 1
-        self.current, self.centroid = self.seen, list(v) if v is not None else None
+        self.current, self.centroid = self.seen, v.tolist() if v is not None else None
         return self.current
 
     def _close(self) -> None:
