@@ -17,12 +17,12 @@ ISO3 = {
     "eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "rus": "ru",
 }
 #: Labelled documents the classifier is fitted on at most; taken by the smallest hashes of their ids.
-FIT_DOCUMENTS = 2500
+FIT_DOCUMENTS = 3500
 BUCKETS, DIMENSION, EPOCHS, SEED = 1 << 15, 16, 4, 11
 #: Words a unit needs to be judged by itself; shorter ones take the language of their neighbours.
 LEAST_WORDS = 4
 #: Mean probability that a stretch of a mixed text must have.
-LEAST_STRETCH = 0.9
+LEAST_STRETCH = 0.93
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"'»”)\]]*\s+(?=\S)")
 _HEAD = re.compile(r"^\s*(?:\[?\d{4}-\d{2}-\d{2}[^-]{0,14}- [^:]{1,30}:|(?:>|[-*•]|\(?\d{1,3}[.)])\s)\s*")
@@ -169,7 +169,8 @@ def fit(samples: pd.DataFrame, seed: int = SEED) -> LanguageModel:
     rng = np.random.default_rng(seed)
     units, codes = [], []
     for text, code in zip(samples["text"], samples["code"]):
-        own = [u for u in units_of(text) if len(_WORD.findall(u)) >= LEAST_WORDS][:8]
+        own = [u for u in units_of(text) if len(_WORD.findall(u)) >= LEAST_WORDS]
+        own = [own[i] for i in sorted(rng.permutation(len(own))[:8])]
         units += own
         codes += [code] * len(own)
     languages = sorted(set(codes))
@@ -207,7 +208,7 @@ def fit(samples: pd.DataFrame, seed: int = SEED) -> LanguageModel:
     return model
 
 
-def stretches(units: list[str], p: np.ndarray, model: LanguageModel, switch: float = 6.0) -> list[tuple[int, float, int, int]]:
+def stretches(units: list[str], p: np.ndarray, model: LanguageModel, switch: float = 8.0) -> list[tuple[int, float, int, int]]:
     """``(language, confidence, first unit, last unit)`` of the longest one-language stretches.
 
     The best path over the units' probabilities with a price for every change of language; units
@@ -294,7 +295,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 def fit_on(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> LanguageModel:
     """Fit on at most ``fit_documents`` labelled documents, those with the smallest hashes of their ids."""
     labelled = documents.select("doc_id", "text", code_of_label(F.col("lang")).alias("code"))
-    labelled = labelled.where("code is not null and length(text) >= 40").select("doc_id", "code", F.substring("text", 1, 3000).alias("text"))
+    labelled = labelled.where("code is not null and length(text) >= 40").select("doc_id", "code", "text")
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
     return fit(sample.toPandas().sort_values("doc_id"))
 
