@@ -8,33 +8,33 @@ from pyspark.sql import functions as F
 from mnesis.functions.scores import gap_log
 from mnesis.functions.text import is_noise
 from mnesis.functions.vectors import cosine
+from mnesis.operators import ordered
 
 
 def previous_gap(df: DataFrame, stream: str, us: str, tie: str) -> DataFrame:
     """Adds ``gap_min`` (null for the first of a stream) and ``gap_log`` (1.0 for the first)."""
-    w = Window.partitionBy(stream).orderBy(us, tie)
-    gap = F.abs(F.col(us) - F.lag(us).over(w)) / 60e6
-    return df.withColumn("gap_min", gap).withColumn("gap_log", gap_log(F.col("gap_min")))
+    x = ordered.previous(df, stream, us, tie, {"_us": us})
+    return x.withColumn("gap_min", F.abs(F.col(us) - F.col("_us")) / 60e6).withColumn("gap_log", gap_log(F.col("gap_min"))).drop("_us")
 
 
-def previous_cosine(df: DataFrame, stream: str, order: str, vec: str) -> DataFrame:
+def previous_cosine(df: DataFrame, stream: str, order: str, vec: str, width: int = 100_000) -> DataFrame:
     """Adds ``cos_prev``: similarity to the previous vector of the stream, 0 for the first."""
-    w = Window.partitionBy(stream).orderBy(order)
-    return df.withColumn("cos_prev", F.coalesce(cosine(vec, F.lag(vec).over(w)), F.lit(0.0)))
+    x = ordered.previous(df, stream, order, order, {"_vec": vec}, width)
+    return x.withColumn("cos_prev", F.coalesce(cosine(vec, "_vec"), F.lit(0.0))).drop("_vec")
 
 
 def boundary_labels(df: DataFrame, stream: str, us: str, tie: str, label: str) -> DataFrame:
     """Adds ``is_boundary``: 1 where the label is known and differs from the last known one before it."""
-    w = Window.partitionBy(stream).orderBy(us, tie).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(label, ignorenulls=True).over(w)
-    return df.withColumn("is_boundary", F.when(F.col(label).isNotNull() & before.isNotNull() & (F.col(label) != before), 1).otherwise(0))
+    x = ordered.last_known(df, stream, us, tie, label, "_before_label")
+    differs = F.col(label).isNotNull() & F.col("_before_label").isNotNull() & (F.col(label) != F.col("_before_label"))
+    return x.withColumn("is_boundary", F.when(differs, 1).otherwise(0)).drop("_before_label")
 
 
 def islands(df: DataFrame, stream: str, us: str, tie: str, gap_minutes: float) -> DataFrame:
     """Adds ``island``: numbered from 1 per stream, a new one after a gap of strictly more than ``gap_minutes``."""
-    w = Window.partitionBy(stream).orderBy(us, tie)
-    cut = F.when(F.col(us) - F.lag(us).over(w) <= int(gap_minutes * 60_000_000), 0).otherwise(1)
-    return df.withColumn("_cut", cut).withColumn("island", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    x = ordered.previous(df, stream, us, tie, {"_us": us})
+    cut = F.when(F.col(us) - F.col("_us") <= int(gap_minutes * 60_000_000), 0).otherwise(1)
+    return ordered.running_sum(x, stream, us, tie, cut, "island").drop("_us")
 
 
 def bursts(df: DataFrame, stream: str, author: str, us: str, tie: str, text: str, seconds: int = 30, most: int = 5) -> DataFrame:
@@ -42,25 +42,26 @@ def bursts(df: DataFrame, stream: str, author: str, us: str, tie: str, text: str
 
     ``stream, author, start_us, end_us, n, content``: contents in order joined by `` | ``, noise left out.
     """
-    w = Window.partitionBy(stream).orderBy(us, tie)
-    same = (F.lag(author).over(w) == F.col(author)) & (F.col(us) - F.lag(us).over(w) <= seconds * 1_000_000)
-    marked = df.withColumn("_cut", F.when(same, 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(stream, "_run").orderBy(us, tie)) - 1) / most))
+    x = ordered.previous(df, stream, us, tie, {"_us": us, "_author": author})
+    same = (F.col("_author") == F.col(author)) & (F.col(us) - F.col("_us") <= seconds * 1_000_000)
+    marked = ordered.running_sum(x, stream, us, tie, F.when(same, 0).otherwise(1), "_run")
+    marked = marked.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(stream, "_run").orderBy(us, tie)) - 1) / most))
     piece = F.struct(F.col(us).alias("us"), F.col(tie).alias("tie"), F.when(~is_noise(F.col(text)), F.col(text)).alias("text"))
     texts = F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"])
     return (
-        marked.groupBy(stream, "_run", "_chunk")
+        marked.groupBy(stream, "_run", "_part")
         .agg(F.first(author).alias(author), F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.count(F.lit(1)).alias("n"), F.array_join(texts, " | ").alias("content"))
-        .drop("_run", "_chunk")
+        .drop("_run", "_part")
     )
 
 
 def context_text(df: DataFrame, stream: str, author: str, us: str, tie: str, text: str, before: int = 4) -> DataFrame:
     """Adds ``context``: the last ``before`` messages and the current one, as one passage."""
-    w = Window.partitionBy(stream).orderBy(us, tie).rowsBetween(-before, 0)
     line = F.concat(F.lit("["), F.coalesce(F.col(author), F.lit("unknown")), F.lit("] "), F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("_line", line).withColumn("context", F.concat(F.lit("passage: "), F.array_join(F.collect_list("_line").over(w), " | "))).drop("_line")
+    x = ordered.in_blocks(ordered.row_index(df.withColumn("_line", line), stream, us, tie, "_i"), stream, "_i", before)
+    w = Window.partitionBy(stream, "_block").orderBy("_i").rowsBetween(-before, 0)
+    x = x.withColumn("context", F.concat(F.lit("passage: "), F.array_join(F.collect_list("_line").over(w), " | ")))
+    return x.where("_own").drop("_line", "_i", "_block", "_own")
 
 
 def gap_marker(minutes: Column) -> Column:
@@ -72,8 +73,7 @@ def gap_marker(minutes: Column) -> Column:
 
 def overlapping_windows(df: DataFrame, stream: str, us: str, tie: str, size: int, stride: int) -> DataFrame:
     """One row per row and window it lies in: ``window_no, at``. Windows start every ``stride`` rows of a stream."""
-    w = Window.partitionBy(stream).orderBy(us, tie)
-    numbered = df.withColumn("_i", F.row_number().over(w) - 1)
+    numbered = ordered.row_index(df, stream, us, tie, "_i")
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / stride))
     last = F.floor(F.col("_i") / stride)
     return numbered.withColumn("window_no", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("at", F.col("_i") - F.col("window_no") * stride).drop("_i")

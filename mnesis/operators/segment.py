@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mnesis.functions.scores import temporal_decay
 from mnesis.functions.sets import precision_overlap, tidy_entities
 from mnesis.functions.vectors import cosine, mean_vector
+from mnesis.operators import ordered
 from mnesis.shared import materialise
 
 
@@ -106,10 +107,10 @@ def segment(rows: DataFrame, config: SegmentConfig | None = None) -> DataFrame:
     score go to the older episode, equal times are ordered by id.
     """
     cfg = config or SegmentConfig()
-    w = Window.partitionBy("stream").orderBy("us", "id")
-    cut = F.when(F.col("us") - F.lag("us").over(w) <= int(cfg.hard_break_minutes * 60e6), 0).otherwise(1)
-    pieces = rows.withColumn("_cut", cut).withColumn("session", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
-    ordered = pieces.select("stream", "session", "id", "us", "vec", "entities", "boundary").repartition("stream", "session").sortWithinPartitions("stream", "session", "us", "id")
+    x = ordered.previous(rows, "stream", "us", "id", {"_us": "us"})
+    cut = F.when(F.col("us") - F.col("_us") <= int(cfg.hard_break_minutes * 60e6), 0).otherwise(1)
+    pieces = ordered.running_sum(x, "stream", "us", "id", cut, "session")
+    in_order = pieces.select("stream", "session", "id", "us", "vec", "entities", "boundary").repartition("stream", "session").sortWithinPartitions("stream", "session", "us", "id")
     stream_type, id_type = rows.schema["stream"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +124,7 @@ def segment(rows: DataFrame, config: SegmentConfig | None = None) -> DataFrame:
                 out.append(state.add(int(us), v, list(entities) if entities is not None else [], None if p is None or p != p else float(p)))
             yield pdf[["stream", "session", "id", "us"]].assign(episode_no=np.array(out, dtype=np.int64))
 
-    return ordered.mapInPandas(run, f"stream {stream_type}, session bigint, id {id_type}, us bigint, episode_no bigint")
+    return in_order.mapInPandas(run, f"stream {stream_type}, session bigint, id {id_type}, us bigint, episode_no bigint")
 
 
 def temporal_only(gap_threshold: float = 0.30, minutes: float = 120.0) -> SegmentConfig:
