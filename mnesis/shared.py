@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,9 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context_dir.isDefined():
             return context_dir.get()
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="mnesis-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path
