@@ -45,6 +45,12 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, in enough partitions for Python-heavy work: only an input of fewer splits than cores is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh_path`` named."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
