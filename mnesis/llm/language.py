@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnesis.shared import spread
+
 # Three-letter codes and their two-letter codes.
 ISO3 = {
     "eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "rus": "ru",
 }
 #: Labelled documents the classifier is fitted on at most; taken by the smallest hashes of their ids.
 FIT_DOCUMENTS = 3500
-BUCKETS, DIMENSION, EPOCHS, SEED = 1 << 15, 16, 4, 11
+BUCKETS, DIMENSION, EPOCHS, SEED = 1 << 15, 16, 3, 11
 #: Words a unit needs to be judged by itself; shorter ones take the language of their neighbours.
 LEAST_WORDS = 4
 #: Mean probability that a stretch of a mixed text must have.
@@ -125,7 +127,7 @@ class LanguageModel:
         return out
 
 
-def _sgd(units: list[str], y: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sgd(units: list[str], y: np.ndarray, n: int, rng: np.random.Generator, epochs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, at = subword_ids(units)
     ends = np.append(at[1:], len(ids))
     E = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -133,8 +135,8 @@ def _sgd(units: list[str], y: np.ndarray, n: int, rng: np.random.Generator) -> t
     b = np.zeros(n, dtype=np.float32)
     weight = (len(y) / n / np.maximum(np.bincount(y, minlength=n), 1))[y]
     steps, batch = 0, 256
-    total = EPOCHS * (len(y) // batch + 1)
-    for _ in range(EPOCHS):
+    total = epochs * (len(y) // batch + 1)
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
@@ -155,7 +157,9 @@ def _sgd(units: list[str], y: np.ndarray, n: int, rng: np.random.Generator) -> t
             gx = (g @ W.T) / sizes[:, None]
             W -= 10 * rate * (x.T @ g)
             b -= rate * g.sum(axis=0)
-            np.add.at(E, flat, (-200 * rate * gx[owner]).astype(np.float32))
+            step = -200 * rate * gx
+            for k in range(DIMENSION):  # the gradient of a bucket is the sum over its n-grams
+                E[:, k] += np.bincount(flat, weights=step[owner, k], minlength=BUCKETS).astype(np.float32)
     return E, W, b
 
 
@@ -183,9 +187,9 @@ def fit(samples: pd.DataFrame, seed: int = SEED) -> LanguageModel:
     held = rng.random(len(units)) < 0.1
     keep = np.ones(len(units), dtype=bool)
     model = None
-    for _ in range(2):
+    for epochs in (2, EPOCHS):
         rows = np.flatnonzero(keep & ~held)
-        E, W, b = _sgd([units[i] for i in rows], y[rows], len(languages), rng)
+        E, W, b = _sgd([units[i] for i in rows], y[rows], len(languages), rng, epochs)
         model = LanguageModel(languages, (E.astype(np.float64) @ W).astype(np.float32), b)
         p = model.probabilities(units)
         keep = ~((p.argmax(axis=1) != y) & (p.max(axis=1) > 0.6))
@@ -288,7 +292,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
                     out += [(doc, label, len(found), k, m.languages[lang], conf) for k, (lang, conf, _, _) in enumerate(found, 1)]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-    rows = documents.where("text is not null and text <> ''").select("doc_id", "text", code_of_label(F.col("lang")).alias("label"))
+    rows = spread(documents.select("doc_id", "text", "lang")).where("text is not null and text <> ''").select("doc_id", "text", code_of_label(F.col("lang")).alias("label"))
     return rows.mapInPandas(judge, _SCHEMA)
 
 

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from mnesis.shared import spread
+
 #: Fixed masks over neighbouring tokens; a zero ignores its position, so one altered word between two
 #: kept ones does not hide a passage.
 MASKS = ("11101", "110101", "1011001")
@@ -218,7 +220,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, words int, share double"
     columns = ["doc_id", "item_id", "words", "share"]
-    docs = documents.where("text is not null and text <> ''").select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text")).where("text is not null and text <> ''")
     ordered = items.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id")
     out, block = None, []
 

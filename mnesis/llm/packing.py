@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnesis.shared import materialise, spread
+
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Items that one packer sees. Fixed, so that a task's work does not grow with the corpus; the last
@@ -37,7 +39,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in pdf["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +101,6 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     pieces = items.withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int"))))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(capacity), F.col("n") - (F.col("piece_no") - 1) * capacity).cast("bigint"))
     pieces = pieces.select("doc_id", "piece_no", "n_tokens")
-    from mnesis.shared import materialise
-
     pieces = materialise(pieces, "pack-pieces")  # tokens are counted once
     whole = pieces.where(F.col("n_tokens") == capacity)
     part = pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity))
