@@ -35,12 +35,12 @@ def fold(text: str) -> str:
 
 def canonical(text: str | None) -> tuple[str, ...] | None:
     """The words of an entry without the trifles of its repetition; None for null or blank text."""
-    if text is None or not (s := fold(text).strip()):
+    if text is None or not (s := " ".join(fold(text).split())):
         return None
     whole = s
     while m := _LEAD.match(s):
         s = s[m.end() :]
-    while m := _TAIL.search(s):
+    while m := _TAIL.search(s, max(0, len(s) - 200)):  # a bounded look back keeps long texts linear
         s = s[: m.start()]
     return tuple(_WORD.findall(s)) or (whole,)
 
