@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +49,7 @@ _ADDRESS = re.compile(
     # Dutch: street, number, postcode, town
     rf"|\b{_CAP}[^\W\d_]+(?:straat|laan|weg|plein|gracht|kade) \d{{1,4}}[a-z]?, \d{{4}} ?[A-Z]{{2}} {_TOWN}"
 )
-_NUMBER = re.compile(r"(?<![\w])[\w+(]*\d[\d .,()/-]*\d[A-Z]?(?![\w])")
+_NUMBER = re.compile(r"(?<![\w+(])[\w+(]*\d[\d .,()/-]*\d[A-Z]?(?![\w])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 # Titles before a name.
 _TITLES = frozenset("dr mme mlle m mr mrs ms prof frau herr doctora doctor senor senora sr sra docteur dra mevrouw meneer signora signor dott".split())
@@ -73,21 +74,21 @@ def scan_text(text: str, given: frozenset[str]) -> list[tuple]:
     background against which the words around certain pieces are weighed.
     """
     out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
+    words = [_Word(m) for m in _WORD.finditer(text)]
+    starts, ends = [w.start for w in words], [w.end for w in words]
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
-
-    words = [_Word(m) for m in _WORD.finditer(text)]
+        return taken.find(1, a, b) < 0
 
     def around(a: int, b: int) -> tuple[str, str]:
-        left = [w.low for w in words if w.end <= a][-1:]
-        right = next((w.low for w in words if w.start >= b), "")
-        near_left = re.search(r"[.;\n]|//", text[max(0, a - 3) : a].rstrip()[-2:]) and not text[:a].rstrip().endswith(("no.", "nr.", "n°"))
-        return (left[0] if left and not near_left else "^"), right or "$"
+        left, right = bisect_right(ends, a) - 1, bisect_left(starts, b)
+        before = text[max(0, a - 12) : a].rstrip()
+        cut = re.search(r"[.;\n]|//", text[max(0, a - 3) : a].rstrip()[-2:]) and not before.endswith(("no.", "nr.", "n°"))
+        return (words[left].low if left >= 0 and not cut else "^"), (words[right].low if right < len(words) else "$")
 
     def add(a: int, b: int, kind: str, certain: bool, term: str = "") -> None:
-        taken.append((a, b))
+        taken[a:b] = b"\x01" * (b - a)
         out.append((a, b, kind, certain, term, *around(a, b)))
 
     for m in _EMAIL.finditer(text):
@@ -112,7 +113,7 @@ def scan_text(text: str, given: frozenset[str]) -> list[tuple]:
     used: set[int] = set()
 
     def name(i: int, j: int, surname: int, certain: bool) -> None:
-        if free(words[i].start, words[j].end) and not used & set(range(i, j + 1)):
+        if free(words[i].start, words[j].end) and not any(k in used for k in range(i, j + 1)):
             used.update(range(i, j + 1))
             add(words[i].start, words[j].end, "person_name", certain, words[surname].low)
 

@@ -28,6 +28,12 @@ def test_no_cases(text):
     assert not [p for p in scan_text(text, GIVEN) if p[3]]
 
 
+def test_awkward_long_texts_take_linear_time():
+    assert len(scan_text("ask Ingrid Suraname for +44 20 7946 0585 or a@b.test. " * 8000, GIVEN)) >= 24_000
+    for text in ("a" * 200_000, "1" * 200_000, "1 " * 100_000, "Ab " * 60_000, "A. " * 60_000, "@" * 100_000, "a.b" * 60_000, "1, " * 60_000, "(" * 100_000):
+        scan_text(text, GIVEN)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rows = []
