@@ -165,70 +165,108 @@ def merge_small(episodes: DataFrame, most: int = 3, least_cos: float = 0.60, gap
     return x.groupBy("stream", "_piece").applyInPandas(fold, f"stream {t['stream'].dataType.simpleString()}, episode_no {t['episode_no'].dataType.simpleString()}, merged_no {t['episode_no'].dataType.simpleString()}")
 
 
-def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:
-    """Labels of ``k`` clusters by average linkage."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    for _ in range(n - k):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
+def average_linkage(x: np.ndarray, least: int, most: int) -> dict[int, np.ndarray]:
+    """Labels of ``least`` to ``most`` clusters of the rows of ``x`` (unit length or zero) by average linkage over cosine distance.
+
+    The mean distance of two clusters is 1 minus the dot product of their mean vectors, so vectors
+    stand for the pairwise distances, exactly and in memory linear in the rows. Nearest neighbours
+    are found block by block and all mutual ones merge at once: average linkage is reducible, so
+    the order of such merges doesn't change the tree. Equal rows are one cluster from the start.
+    Clusters are numbered by their first row.
+    """
+    unique, first, inverse, count = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    point, mean, size = rank[inverse.ravel()], unique[order].astype(float), count[order].astype(float)
+    n = len(mean)
+    alive, near, far, height = np.arange(n), np.full(n, -1), np.full(n, np.inf), np.zeros(n)
+    merges: list[tuple[float, int, int]] = []
+    stale = alive
+    while len(alive) > 1:
+        step = max(1, 4_000_000 // len(alive))
+        for i in range(0, len(stale), step):
+            rows = stale[i : i + step]
+            d = 1 - mean[rows] @ mean[alive].T
+            d[np.arange(len(rows)), np.searchsorted(alive, rows)] = np.inf
+            at = d.argmin(axis=1)
+            near[rows], far[rows] = alive[at], d[np.arange(len(rows)), at]
+        mutual = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(mutual):  # ties that rounding breaks differently from both sides
+            mutual = alive[far[alive].argmin()][None]
+        gone = []
+        for i in mutual:
+            i, j = sorted((int(i), int(near[i])))
+            height[i] = max(far[i], far[j], height[i], height[j])  # a merge never comes before those it needs
+            merges.append((height[i], i, j))
+            mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            gone.append(j)
+        touched = np.zeros(n, dtype=bool)
+        touched[gone] = True
+        alive = alive[~touched[alive]]
+        touched[mutual], touched[near[mutual]] = True, True
+        stale = alive[touched[alive] | touched[near[alive]]]
+    merges.sort(key=lambda m: m[0])  # stable
+    parent = list(range(n))
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out, left = {}, n
+    for _, i, j in [*merges, (np.inf, 0, 0)]:
+        if least <= left <= most:
+            out[left] = np.unique(np.array([root(v) for v in range(n)]), return_inverse=True)[1][point]
+        i, j = sorted((root(i), root(j)))
+        parent[j], left = i, left - 1
+    return out
+
+
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette over cosine distance; sums of distances come from sums of vectors, in linear time."""
     k = labels.max() + 1
     if k < 2:
         return 0.0
-    sums = np.stack([distance[:, labels == c].sum(axis=1) for c in range(k)], axis=1)
-    sizes = np.bincount(labels, minlength=k)
+    sizes, at = np.bincount(labels, minlength=k), np.arange(len(labels))
+    total = np.stack([x[labels == c].sum(axis=0) for c in range(k)])
+    sums = np.maximum(sizes - x @ total.T, 0)
     own = sizes[labels]
-    a = np.where(own > 1, sums[np.arange(len(labels)), labels] / np.maximum(own - 1, 1), 0)
+    a = np.where(own > 1, np.maximum(sums[at, labels] - (1 - (x * x).sum(axis=1)), 0) / np.maximum(own - 1, 1), 0)
     mean = sums / sizes
-    mean[np.arange(len(labels)), labels] = np.inf
+    mean[at, labels] = np.inf
     b = mean.min(axis=1)
     s = np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)
     return float(s.mean())
 
 
-def split_large(members: DataFrame, least_size: int = 8, least_cluster: int = 3, least_score: float = 0.10, pairwise_limit: int = 1500) -> DataFrame:
+def split_large(members: DataFrame, least_size: int = 8, least_cluster: int = 3, least_score: float = 0.10) -> DataFrame:
     """``episode, id, part``: incoherent episodes split by average linkage with the best silhouette.
 
-    ``members``: ``episode, id, us, vec``. Part 0 stands for an episode that stays whole. Episodes of
-    more than ``pairwise_limit`` members are cut into consecutive stretches of that length first,
-    so that no task holds more than their pairwise distances.
+    ``members``: ``episode, id, us, vec``. Part 0 stands for an episode that stays whole. An episode of
+    any size is clustered as a whole; a task holds its vectors, never its pairwise distances.
     """
-    w = Window.partitionBy("episode").orderBy("us", "id")
-    x = members.withColumn("_s", F.floor((F.row_number().over(w) - 1) / pairwise_limit))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = int(pdf["_s"].iloc[0]) * 10
+        pdf = pdf.sort_values(["us", "id"])
         ok = pdf["vec"].map(lambda v: v is not None)
         part = np.zeros(len(pdf), dtype=np.int64)
         if ok.sum() >= least_size:
             X = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"][ok]])
             X = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-9)
-            D = np.maximum(1 - X @ X.T, 0)
             best = (least_score, None)
-            for k in range(2, max(2, min(6, len(X) // 3)) + 1):
-                labels = average_linkage(D, k)
-                if np.bincount(labels).min() >= least_cluster and (s := silhouette(D, labels)) >= best[0]:
+            for _, labels in sorted(average_linkage(X, 2, max(2, min(6, len(X) // 3))).items()):
+                if np.bincount(labels).min() >= least_cluster and (s := silhouette(X, labels)) >= best[0]:
                     if best[1] is None or s > best[0]:
                         best = (s, labels)
             if best[1] is not None:
                 part[np.flatnonzero(ok)] = best[1] + 1
-        return pd.DataFrame({"episode": pdf["episode"], "id": pdf["id"], "part": part + base})
+        return pd.DataFrame({"episode": pdf["episode"], "id": pdf["id"], "part": part})
 
     t = members.schema
-    return x.groupBy("episode", "_s").applyInPandas(run, f"episode {t['episode'].dataType.simpleString()}, id {t['id'].dataType.simpleString()}, part bigint")
+    return members.groupBy("episode").applyInPandas(run, f"episode {t['episode'].dataType.simpleString()}, id {t['id'].dataType.simpleString()}, part bigint")
 
 
 def reassign(rows: DataFrame, membership: DataFrame, dimension: int, rounds: int = 3, window_minutes: float = 480.0, config: SegmentConfig | None = None) -> DataFrame:

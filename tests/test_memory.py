@@ -152,6 +152,44 @@ def test_merge_split_and_reassign(spark):
     assert moved["4"] == "B" and moved["0"] == "A"
 
 
+def test_split_clusters_episodes_of_any_size_whole(spark):
+    rng = np.random.default_rng(2)
+    near = lambda v: [float(x) for x in np.asarray(v) + 0.01 * rng.normal(size=4)]
+    one_topic = [("hot", f"h{i}", i, near([1, 0, 0, 0])) for i in range(1700)]
+    two_topics = [("mixed", f"m{i}", i, near([1, 0, 0, 0] if i % 2 else [0, 1, 0, 0])) for i in range(3300)]
+    spread = lambda v: [float(x) for x in v]
+    noise = [("noise", f"n{i}", i, spread(rng.normal(size=64))) for i in range(1600)]
+    got = segment.split_large(spark.createDataFrame(one_topic + two_topics + noise, "episode string, id string, us bigint, vec array<double>")).collect()
+    parts = {(r.episode, r.id): r.part for r in got}
+    assert len(got) == 6600 and {p for (e, _), p in parts.items() if e == "noise"} == {0}
+    assert {parts["mixed", f"m{i}"] for i in range(0, 3300, 2)} == {1} and {parts["mixed", f"m{i}"] for i in range(1, 3300, 2)} == {2}
+    assert len({p for (e, _), p in parts.items() if e == "hot"}) == 1
+
+
+def test_average_linkage_and_silhouette_equal_pairwise_distances():
+    rng = np.random.default_rng(3)
+    for n in (8, 30, 60):
+        x = rng.normal(size=(n, 5)) + 3 * rng.normal(size=(3, 5))[rng.integers(0, 3, n)]
+        x[1] = x[0]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        d = 1 - x @ x.T
+        np.fill_diagonal(d, 0)
+        got, clusters = segment.average_linkage(x, 2, 6), [[i] for i in range(n)]
+        while len(clusters) > 1:
+            if len(clusters) <= 6:
+                assert sorted(map(sorted, clusters)) == sorted(np.flatnonzero(got[len(clusters)] == c).tolist() for c in range(len(clusters)))
+            pairs = [(d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
+            _, i, j = min(pairs)
+            clusters[i] += clusters.pop(j)
+        s, labels = [], got[3]
+        for i in range(n):
+            own = np.flatnonzero(labels == labels[i])
+            a = d[i, own].sum() / max(len(own) - 1, 1)
+            b = min(d[i, labels == c].mean() for c in range(3) if c != labels[i])
+            s.append((b - a) / max(a, b) if len(own) > 1 else 0)
+        assert segment.silhouette(x, labels) == pytest.approx(np.mean(s))
+
+
 def test_tfidf_and_quotes(spark):
     docs = spark.createDataFrame([(1, "budget budget school"), (2, "school clinic"), (3, None), (4, "")], "k int, t string")
     r = summarise.tfidf_keywords(docs, "k", "t").where("k = 1 and rank = 1").collect()[0]
