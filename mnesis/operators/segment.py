@@ -1,4 +1,4 @@
-"""Sequential episode operators: greedy segmentation, merging, splitting, reassignment."""
+"""Sequential episode operators: greedy segmentation, merging, splitting, reassignment, consolidation."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from mnesis.functions.scores import temporal_decay
 from mnesis.functions.sets import precision_overlap, tidy_entities
 from mnesis.functions.vectors import cosine, mean_vector
 from mnesis.operators import ordered
+from mnesis.operators.components import connected_components
 from mnesis.shared import materialise
 
 
@@ -304,18 +305,50 @@ def reassign(rows: DataFrame, membership: DataFrame, dimension: int, rounds: int
     return membership
 
 
-def consolidate_links(episodes: DataFrame, edges: DataFrame, queries: DataFrame, least_cos: float = 0.70, least_jaccard: float = 0.30, gap_hours: float = 72.0) -> DataFrame:
-    """``a, b, score``: dormant episodes that qualify for consolidation with a query episode.
+def consolidation_pairs(episodes: DataFrame, edges: DataFrame, least_cos: float = 0.70, least_jaccard: float = 0.30, gap_hours: float = 72.0) -> DataFrame:
+    """``a, b, score``, a < b: all pairs of the given (dormant) episodes that qualify for consolidation.
 
-    ``episodes``: ``episode, start_us, end_us, centroid``. A Jaccard above 0 needs a shared entity, so the
-    equi-join on entities loses no pair; vectors are joined after the cheap tests.
+    ``episodes``: ``episode, start_us, end_us, centroid``; ``edges``: ``episode, entity``. Sets of Jaccard t
+    share an entity among the n - ceil(t n) + 1 rarest of each side, and the end of one episode lies
+    within the gap of the start of the other: the equi-join on rare entity and time bin loses no
+    pair, and never emits all pairs of a popular entity.
     """
-    size = edges.groupBy("episode").agg(F.count(F.lit(1)).alias("size"))
-    q = edges.join(queries.select("episode"), "episode", "left_semi").select(F.col("episode").alias("a"), "entity")
-    n = q.join(edges.select(F.col("episode").alias("b"), "entity"), "entity").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    side = lambda x: episodes.join(size, "episode").select(F.col("episode").alias(x), F.col("start_us").alias(f"s_{x}"), F.col("end_us").alias(f"e_{x}"), F.col("centroid").alias(f"c_{x}"), F.col("size").alias(f"n_{x}"))
-    p = n.join(side("a"), "a").join(side("b"), "b")
-    jac = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    gap = F.least(F.abs(F.col("s_b") - F.col("e_a")), F.abs(F.col("s_a") - F.col("e_b"))) / 3.6e9
-    sim = cosine("c_a", "c_b")
-    return p.where((jac >= least_jaccard) & (gap <= gap_hours) & (sim >= least_cos)).select("a", "b", F.round(sim + jac, 6).alias("score"))
+    if least_jaccard <= 0:
+        raise ValueError("episodes without a shared entity can't be found through entities")
+    gap_us = int(gap_hours * 3.6e9)
+    usable = episodes.where("start_us is not null and end_us is not null and centroid is not null")
+    e = edges.select("episode", "entity").distinct().join(usable.select("episode", "start_us", "end_us"), "episode")
+    e = materialise(e.join(e.groupBy("entity").agg(F.count(F.lit(1)).alias("df")), "entity"), "entities")
+    own = Window.partitionBy("episode")
+    x = e.withColumns({"_rn": F.row_number().over(own.orderBy("df", "entity")), "_n": F.count(F.lit(1)).over(own)})
+    x = x.where(F.col("_rn") <= F.col("_n") - F.ceil(least_jaccard * F.col("_n") - 1e-9) + 1)
+    at = lambda c: F.floor(F.col(c) / max(gap_us, 1))
+    ends = x.select(F.col("episode").alias("x"), "entity", "end_us", F.explode(F.sequence(at("end_us") - 1, at("end_us") + 1)).alias("bin"))
+    starts = x.select(F.col("episode").alias("y"), "entity", "start_us", at("start_us").alias("bin"))
+    near = ends.join(starts, ["entity", "bin"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("start_us") - F.col("end_us")) <= gap_us))
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sets = e.groupBy("episode").agg(F.collect_set("entity").alias("k"))
+    with_both = lambda p, v, n: p.join(v.select(F.col("episode").alias("a"), F.col(n).alias(f"{n}_a")), "a").join(v.select(F.col("episode").alias("b"), F.col(n).alias(f"{n}_b")), "b")
+    alike = with_both(near, sets, "k")
+    shared = F.size(F.array_intersect("k_a", "k_b"))
+    alike = alike.select("a", "b", (shared / (F.size("k_a") + F.size("k_b") - shared)).alias("jac")).where(F.col("jac") >= least_jaccard)
+    alike = with_both(alike, usable, "centroid")
+    sim = cosine("centroid_a", "centroid_b")
+    return alike.where(sim >= least_cos).select("a", "b", F.round(sim + F.col("jac"), 6).alias("score"))
+
+
+def consolidate(episodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``episode, base``: the episodes that qualifying pairs link, directly or through others, and the largest of each group.
+
+    ``episodes``: ``episode, n, start_us``. Of equally large episodes the older is the base.
+    """
+    group = materialise(connected_components(pairs).withColumnRenamed("node", "episode"), "groups")
+    base = group.join(episodes, "episode").groupBy("component").agg(F.min_by("episode", F.struct(-F.coalesce("n", F.lit(-1)), "start_us", "episode")).alias("base"))
+    return group.join(base, "component").select("episode", "base")
+
+
+def split_candidates(members: DataFrame, dimension: int, least_size: int = 8, least_cohesion: float = 0.55, span_hours: float = 168.0) -> DataFrame:
+    """``episode``: those of enough members that are incoherent or span too long. ``members``: ``episode, id, us, vec``."""
+    stats = members.groupBy("episode").agg(F.count(F.lit(1)).alias("n"), (F.max("us") - F.min("us")).alias("span_us"), mean_vector("vec", dimension).alias("centroid"))
+    cohesion = members.join(stats.where(F.col("n") >= least_size), "episode").groupBy("episode").agg(F.avg(cosine("vec", "centroid")).alias("cohesion"), F.max("span_us").alias("span_us"))
+    return cohesion.where((F.col("cohesion") < least_cohesion) | (F.col("span_us") > int(span_hours * 3.6e9))).select("episode")

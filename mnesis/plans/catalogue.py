@@ -472,6 +472,34 @@ def episode_components(spark, d):
     return components.connected_components(links)
 
 
+_DORMANT = f"""{_STORE}, dor AS (SELECT s.*, e.message_count, list_distinct(list_filter(list_transform(coalesce(e.participants, []), lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')) AS ents FROM store s JOIN episodes e USING (episode_id)
+WHERE s.status = 'dormant' AND s.start_us IS NOT NULL AND s.end_us IS NOT NULL AND s.centroid IS NOT NULL), jac AS (SELECT a.episode_id AS a, b.episode_id AS b, a.centroid AS ca, b.centroid AS cb, len(list_intersect(a.ents, b.ents)) AS k, len(a.ents) + len(b.ents) AS n
+FROM dor a JOIN dor b ON a.episode_id < b.episode_id WHERE least(abs(b.start_us - a.end_us), abs(a.start_us - b.end_us)) / 3.6e9 <= 72),
+pairs AS (SELECT a, b, round(list_cosine_similarity(ca, cb) + k / (n - k), 6) AS score FROM jac WHERE k > 0 AND k / (n - k) >= 0.30 AND list_cosine_similarity(ca, cb) >= 0.70)"""
+
+
+def _dormant(spark, d):
+    """Dormant episodes of the store and their edges to the participants."""
+    e = store(spark, d).where("status = 'dormant'").select(F.col("episode_id").alias("episode"), "start_us", "end_us", "centroid", "participants", F.col("message_count").alias("n"), "memory")
+    return e, e.select("episode", F.explode(sets.tidy_entities(F.col("participants"))).alias("entity"))
+
+
+@query(f"WITH {_DORMANT} SELECT * FROM pairs")
+def consolidate_pairs(spark, d):
+    return segment.consolidation_pairs(*_dormant(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {_DORMANT}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r(node, reach) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+SELECT first(episode_id ORDER BY message_count DESC NULLS LAST, start_us, episode_id) AS episode_id, count(*) AS n_episodes, sum(message_count)::BIGINT AS n, min(start_us) AS start_us, max(end_us) AS end_us, round(sum(memory), 6) AS memory FROM c JOIN dor ON episode_id = node GROUP BY component"""
+)
+def consolidated_episodes(spark, d):
+    e, edges = _dormant(spark, d)
+    group = segment.consolidate(e, segment.consolidation_pairs(e, edges))
+    total = [F.count(F.lit(1)).alias("n_episodes"), F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.round(F.sum("memory"), 6).alias("memory")]
+    return group.join(e, "episode").groupBy(F.col("base").alias("episode_id")).agg(*total)
+
+
 # ---- recall ------------------------------------------------------------------------------------------------
 
 

@@ -190,6 +190,31 @@ def test_average_linkage_and_silhouette_equal_pairwise_distances():
         assert segment.silhouette(x, labels) == pytest.approx(np.mean(s))
 
 
+def test_consolidation_finds_all_pairs_and_merges_groups(spark):
+    rng, h = np.random.default_rng(6), 3_600_000_000
+    eps = [(f"e{i:02d}", int(s), int(s + rng.integers(0, 40) * h), [float(x) for x in rng.normal(size=2)], int(rng.integers(1, 5))) for i, s in enumerate(rng.integers(0, 300, 90) * h)]
+    ents = {e[0]: {"all"} | {f"k{j}" for j in rng.integers(0, 12, rng.integers(0, 5))} for e in eps}
+    df = spark.createDataFrame(eps, "episode string, start_us bigint, end_us bigint, centroid array<double>, n int")
+    edges = spark.createDataFrame([(e, k) for e, ks in ents.items() for k in ks], "episode string, entity string")
+    want, parent = {}, {e[0]: e[0] for e in eps}
+    for a, sa, ea, ca, _ in eps:
+        for b, sb, eb, cb, _ in eps:
+            jac, sim = len(ents[a] & ents[b]) / len(ents[a] | ents[b]), float(np.dot(ca, cb) / np.linalg.norm(ca) / np.linalg.norm(cb))
+            if a < b and jac >= 0.3 and sim >= 0.7 and min(abs(sb - ea), abs(sa - eb)) <= 72 * h:
+                want[a, b] = pytest.approx(sim + jac, abs=1e-6)
+                old, new = parent[b], parent[a]
+                parent = {k: new if v == old else v for k, v in parent.items()}
+    pairs = segment.consolidation_pairs(df, edges)
+    assert {(r.a, r.b): r.score for r in pairs.collect()} == want and len(want) > 20
+    base = {}
+    for e, s, _, _, n in sorted(eps, key=lambda e: (-e[4], e[1], e[0])):
+        base.setdefault(parent[e], e)
+    got = {r.episode: r.base for r in segment.consolidate(df, pairs).collect()}
+    assert got == {e: base[parent[e]] for e in {x for p in want for x in p}}
+    with pytest.raises(ValueError):
+        segment.consolidation_pairs(df, edges, least_jaccard=0)
+
+
 def test_tfidf_and_quotes(spark):
     docs = spark.createDataFrame([(1, "budget budget school"), (2, "school clinic"), (3, None), (4, "")], "k int, t string")
     r = summarise.tfidf_keywords(docs, "k", "t").where("k = 1 and rank = 1").collect()[0]

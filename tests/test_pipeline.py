@@ -1,6 +1,7 @@
 import json
 
 from mnesis import agent, cli
+from mnesis.operators.segment import SegmentConfig
 from mnesis.pipeline import build, evaluate, grid_search
 
 
@@ -19,6 +20,23 @@ def test_build_recall_and_summary(spark, tmp_path):
     assert len(g) == 1
 
 
+def test_build_consolidates_and_splits(spark, tmp_path):
+    csv = tmp_path / "d.csv"
+    row = lambda i, t, c, e: f'A{i},{t},"{c}","{e}",'
+    rows = [row(i, f"2026-02-01 08:{i:02d}", "budget meeting grant", "grant, office") for i in range(4)] + [row(10 + i, f"2026-02-03 08:{i:02d}", "budget meeting grant", "grant, office") for i in range(3)]
+    rows += [row(20 + i, f"2026-02-20 08:{i:02d}", ("budget meeting grant", "school trip children", "clinic doctor nurse", "garden flowers rain")[i % 4], "grant, office") for i in range(12)]
+    csv.write_text("artifact_id,timestamp,content,entities,true_episode_id\n" + "\n".join(rows) + "\n")
+    tables = build(spark, [str(csv)], config=SegmentConfig(threshold=0.0))
+    eps = {r.episode_id: r for r in tables["episodes"].collect()}
+    of = {r.id: r.episode_id for r in tables["membership"].collect()}
+    assert len(of) == 19 and len({of[f"A{i}"] for i in (0, 1, 2, 3, 10, 11, 12)}) == 1
+    joined = eps[of["A0"]]
+    assert (joined.status, joined.message_count, round(joined.memory, 6)) == ("consolidated", 7, 2.25)
+    topics = [{of[f"A{20 + i}"] for i in range(t, 12, 4)} for t in range(4)]
+    assert all(len(t) == 1 for t in topics) and {max(t)[-4:] for t in topics} == {"_S01", "_S02", "_S03", "_S04"}
+    assert len(eps) == 5 and round(eps[of["A20"]].memory, 6) == 0.3875 and eps[of["A20"]].status == "raw"
+
+
 def test_context_fits_its_budget():
     eps = [{"episode_id": f"E{i}", "label": "l", "relevance": 0.5, "summary": "s" * 3000, "quotes": ["q"]} for i in range(12)]
     text = agent.build_context(eps)
