@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnesis.functions.scores import half_life_recency, monthly_recency
 from mnesis.functions.vectors import cosine
+from mnesis.shared import materialise
+
+BLOCK = 10_000
 
 
 def recall(episodes: DataFrame, queries: DataFrame, k: int = 5, half_life: float = 168.0, least: float = 0.0, entity_score: Column | None = None) -> DataFrame:
     """``query_id, episode_id, relevance, rank``: the ``k`` best episodes of each query.
 
     ``episodes``: ``episode_id, centroid, hours_old, memory, status``; ``queries``: ``query_id,
-    query_vec``, a bounded set that is broadcast (checked: at most 10,000 rows). Similarity .50,
+    query_vec``. Up to ``BLOCK`` queries are broadcast at once; more are answered block by block, each
+    block's ranks written to the shared folder before the next is broadcast. Similarity .50,
     entities .20, recency .15, memory .15. Archived episodes take no part. Ranks go by the score
     rounded to four places, then by id. Each task keeps only its own best ``k`` per query.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("recall takes at most 10,000 queries at a time")
+    if queries.limit(BLOCK + 1).count() > BLOCK:
+        kept = materialise(queries, "queries")
+        blocks = -(-2 * kept.count() // BLOCK)  # half full on average, as ids are dealt by hash
+        dealt = [kept.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.unionAll, [materialise(_recall(episodes, q, k, half_life, least, entity_score), "recalled") for q in dealt])
+    return _recall(episodes, queries, k, half_life, least, entity_score)
+
+
+def _recall(episodes: DataFrame, queries: DataFrame, k: int, half_life: float, least: float, entity_score: Column | None) -> DataFrame:
     top_memory = episodes.agg(F.max("memory").alias("_top"))
     scored = episodes.where("status <> 'archived'").crossJoin(F.broadcast(top_memory)).crossJoin(F.broadcast(queries))
     sem = F.greatest(F.coalesce(cosine("centroid", "query_vec"), F.lit(0.0)), F.lit(0.0))

@@ -517,6 +517,16 @@ def hybrid_recall_topk(spark, d):
     return recall.recall(store(spark, d), q)
 
 
+@query(
+    f"""WITH {_STORE}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT max(memory) AS top FROM store),
+s AS (SELECT query_id, episode_id, round(0.5 * {_sem('centroid', 'v')} + 0.2 * 0.0 + 0.15 * coalesce(power(2.0, -greatest(coalesce(hours_old, 1e9), 0.0) / 168.0), 0.0) + 0.15 * coalesce(CASE WHEN top > 0 THEN least(memory / top, 1.0) ELSE 0.0 END, 0.0), 4) AS relevance FROM store, q, t WHERE status <> 'archived'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, episode_id) AS rank FROM s WHERE relevance >= 0) SELECT query_id, episode_id, relevance, rank::INT AS rank FROM r WHERE rank <= 5"""
+)
+def hybrid_recall_whole(spark, d):
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return recall.recall(store(spark, d), q)
+
+
 @query(f"WITH {_STORE} SELECT episode_id, round(0.6 * memory + 0.4 * power(2.0, -greatest(coalesce(hours_old, 1e9), 0.0) / 168.0), 6) AS score FROM store WHERE status <> 'archived' ORDER BY score DESC, episode_id LIMIT 10")
 def salience_topk(spark, d):
     return recall.salience(store(spark, d))

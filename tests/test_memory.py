@@ -109,6 +109,15 @@ def test_recall_ranks_with_ties_and_empty(spark):
     assert recall.recall(spark.createDataFrame([], schema), q).count() == 0
 
 
+def test_recall_answers_more_queries_than_a_block(spark, monkeypatch):
+    schema = "episode_id string, centroid array<double>, hours_old double, memory double, status string"
+    e = spark.createDataFrame([("a", [1.0, 0.0], 5.0, 1.0, "raw"), ("b", [0.0, 1.0], 0.0, 0.5, "raw")], schema)
+    q = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(30)], "query_id int, query_vec array<double>")
+    want = sorted(recall.recall(e, q).collect())
+    monkeypatch.setattr(recall, "BLOCK", 20)
+    assert sorted(recall.recall(e, q).collect()) == want and len(want) == 60
+
+
 def test_lifecycle(spark):
     rows = [("a", "raw", 200.0, 0.0, 0, "x"), ("b", "dormant", 200.0, 0.0, 0, "todo list"), ("c", "raw", None, 0.0, None, None)]
     e = spark.createDataFrame(rows, "episode_id string, status string, days_old double, salience double, access_count int, title string").withColumn("memory", F.col("salience"))
