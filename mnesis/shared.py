@@ -45,6 +45,11 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its bytes, which adaptive execution would put into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a scan, in enough partitions for Python-heavy work: only an input of fewer splits than cores is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
