@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.llm.names import SHORT_FORMS
 from mnesis.shared import materialise
 
 #: Bits that the words around a piece, and the piece's own rare word, must give away for a
@@ -162,7 +161,7 @@ def given_names(persons: DataFrame) -> frozenset[str]:
     rows = shared.limit(MOST_GIVEN_NAMES + 1).collect()
     if len(rows) > MOST_GIVEN_NAMES:
         raise ValueError(f"more than {MOST_GIVEN_NAMES} given names")
-    return frozenset({r.token for r in rows} - _TITLES) | frozenset(SHORT_FORMS)
+    return frozenset({r.token for r in rows} - _TITLES)
 
 
 _SCAN = "tab string, row_key string, start_pos bigint, end_pos bigint, kind string, certain boolean, term string, left_word string, right_word string"
