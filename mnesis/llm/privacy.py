@@ -6,6 +6,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,9 +14,13 @@ from pyspark.sql import functions as F
 
 from mnesis.shared import materialise
 
-#: Bits that the words around a piece, and the piece's own rare word, must give away for a
-#: piece whose form alone does not decide.
+#: Bits by which a piece must disclose that it is personal: those of the words around it, of its own rare
+#: word and of its form together.
 LEAST_BITS = 1.0
+#: Bits of a form. That of mail, street addresses, telephone and identity numbers and of a given name with a surname
+#: is outweighed by words that stand with other numbers and names; any capitalised term may come out as a name,
+#: but only by what its surroundings and its own word disclose.
+SURE_FORM, OPEN_FORM, OTHER_FORM = 6.0, 0.0, -10.0
 #: Persons of the protected list that must share a token for it to be a given name.
 LEAST_BEARERS = 3
 #: Given names are held in every task; a protected list with more of them is refused.
@@ -49,12 +54,16 @@ _ADDRESS = re.compile(
     rf"|\b{_CAP}[^\W\d_]+(?:straat|laan|weg|plein|gracht|kade) \d{{1,4}}[a-z]?, \d{{4}} ?[A-Z]{{2}} {_TOWN}"
 )
 _NUMBER = re.compile(r"(?<![\w+(])[\w+(]*\d[\d .,()/-]*\d[A-Z]?(?![\w])")
+_DIGIT, _MAIL_SIGNS = re.compile(r"\d"), ("@", "＠", "at]", "at)", "at}", "dot")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 # Titles before a name.
 _TITLES = frozenset("dr mme mlle m mr mrs ms prof frau herr doctora doctor senor senora sr sra docteur dra mevrouw meneer signora signor dott".split())
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -70,7 +79,8 @@ def scan_text(text: str, given: frozenset[str]) -> list[tuple]:
     """Pieces and slots of a text: ``(start, end, type, certain, term, left word, right word)``.
 
     Type ``number`` and ``slot`` stand for other numbers and other capitalised words: they are the
-    background against which the words around certain pieces are weighed.
+    background against which the words around pieces of certain form are weighed. A neighbour is
+    None at an end of the text and beyond the end of a sentence.
     """
     out: list[tuple] = []
     taken = bytearray(len(text))
@@ -84,27 +94,29 @@ def scan_text(text: str, given: frozenset[str]) -> list[tuple]:
         left, right = bisect_right(ends, a) - 1, bisect_left(starts, b)
         before = text[max(0, a - 12) : a].rstrip()
         cut = re.search(r"[.;\n]|//", text[max(0, a - 3) : a].rstrip()[-2:]) and not before.endswith(("no.", "nr.", "n°"))
-        return (words[left].low if left >= 0 and not cut else "^"), (words[right].low if right < len(words) else "$")
+        return (words[left].low if left >= 0 and not cut else None), (words[right].low if right < len(words) else None)
 
     def add(a: int, b: int, kind: str, certain: bool, term: str = "") -> None:
         taken[a:b] = b"\x01" * (b - a)
         out.append((a, b, kind, certain, term, *around(a, b)))
 
-    for m in _EMAIL.finditer(text):
-        add(m.start(), m.end(), "email", True)
-    for m in _ADDRESS.finditer(text):
-        if free(m.start(), m.end()):
-            add(m.start(), m.end(), "address", True)
-    for m in _ID.finditer(text):
-        if free(m.start(), m.end()):
-            add(m.start(), m.end(), "id_number", m.lastgroup == "sure")
-    for m in _PHONE.finditer(text):
-        if free(m.start(), m.end()):
-            digits = sum(c.isdigit() for c in m.group())
-            add(m.start(), m.end(), "phone", 9 <= digits <= 15)
-    for m in _NUMBER.finditer(text):
-        if free(m.start(), m.end()):
-            add(m.start(), m.end(), "number", False)
+    if any(x in text for x in _MAIL_SIGNS):
+        for m in _EMAIL.finditer(text):
+            add(m.start(), m.end(), "email", True)
+    if _DIGIT.search(text):  # every other form has a digit
+        for m in _ADDRESS.finditer(text):
+            if free(m.start(), m.end()):
+                add(m.start(), m.end(), "address", True)
+        for m in _ID.finditer(text):
+            if free(m.start(), m.end()):
+                add(m.start(), m.end(), "id_number", m.lastgroup == "sure")
+        for m in _PHONE.finditer(text):
+            if free(m.start(), m.end()):
+                digits = sum(c.isdigit() for c in m.group())
+                add(m.start(), m.end(), "phone", 9 <= digits <= 15)
+        for m in _NUMBER.finditer(text):
+            if free(m.start(), m.end()):
+                add(m.start(), m.end(), "number", False)
 
     def gap(i: int, j: int) -> str:
         return text[words[i].end : words[j].start]
@@ -182,41 +194,58 @@ def scan(texts: DataFrame, given: frozenset[str]) -> DataFrame:
 def disclosure(pieces: DataFrame, column: str) -> DataFrame:
     """Bits by which a word gives away that a piece beside it (or holding it) is personal.
 
-    ``family, word, bits``: the log ratio of how often the word occurs with certain personal pieces
-    and how often with the background of the family (other numbers, other names), each over its own
-    total and smoothed by half a count. Pieces of open form count on neither side.
+    ``word`` and a column of bits for each family: the log ratio of how often the word occurs with
+    pieces of certain form of the family and how often with the family's background (other
+    numbers, other names; for mail and street addresses both), each over its own total and
+    smoothed by half a count. Pieces of open form count on neither side.
     """
-    personal, other = F.sum(F.col("certain").cast("int")), F.sum(F.col("kind").isin("number", "slot").cast("int"))
-    counts = pieces.groupBy("family", F.col(column).alias("word")).agg(personal.alias("c"), other.alias("o"))
-    totals = counts.groupBy("family").agg(F.sum("c").alias("all_c"), F.sum("o").alias("all_o"))
-    ratio = ((F.col("c") + 0.5) / (F.col("all_c") + 0.5)) / ((F.col("o") + 0.5) / (F.col("all_o") + 0.5))
-    seen = counts.where("c + o > 0").join(totals, "family")
-    return seen.select("family", "word", F.log2(ratio).alias("bits"))
+    one = lambda c: F.sum(c.cast("bigint"))
+    background = {"number": F.col("kind") == "number", "name": F.col("kind") == "slot"}
+    either = F.col("kind").isin("number", "slot")
+    counts = pieces.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("word")).agg(
+        *[one(F.col("certain") & (F.col("family") == f)).alias(f"c_{f}") for f in FAMILIES], *[one(background.get(f, either)).alias(f"o_{f}") for f in FAMILIES]
+    )
+    counts = materialise(counts, "word-counts")
+    totals = counts.agg(*[F.coalesce(F.sum(f"{x}_{f}"), F.lit(0)).alias(f"all_{x}_{f}") for f in FAMILIES for x in "co"])  # one row
+    share = lambda x: (F.col(x) + 0.5) / (F.col(f"all_{x}") + 0.5)
+    return counts.join(totals).select("word", *[F.log2(share(f"c_{f}") / share(f"o_{f}")).alias(f) for f in FAMILIES])
+
+
+FAMILIES = ("number", "name", "email", "address")
+
+
+def weigh(pieces: DataFrame) -> DataFrame:
+    """Adds ``bits``: how strongly the words around a piece, its own rare word and its form disclose that it is personal."""
+    bits = F.when(F.col("certain"), SURE_FORM).when(F.col("kind") == "slot", OTHER_FORM).otherwise(OPEN_FORM)
+    weighed = pieces.where("kind <> 'number'")
+    for column in ("left_word", "right_word", "term"):
+        table = disclosure(pieces, column).withColumnsRenamed({f: f"_{f}" for f in FAMILIES}).withColumnRenamed("word", column)
+        weighed = weighed.join(table, column, "left")
+        own = F.coalesce(*[F.when(F.col("family") == f, F.col(f"_{f}")) for f in FAMILIES], F.lit(0.0))
+        own = own if column != "term" else F.when(F.col("family") == "name", F.greatest(own, F.lit(0.0))).otherwise(0.0)
+        weighed = weighed.withColumn(f"_bits_{column}", own).drop(*[f"_{f}" for f in FAMILIES])
+        bits = bits + F.col(f"_bits_{column}")
+    return weighed.withColumn("bits", bits).select(*pieces.columns, "bits")
 
 
 def find_personal(texts: DataFrame, persons: DataFrame) -> DataFrame:
     """Personal pieces of ``texts`` (``tab, row_key, content``): ``tab, row_key, start_pos, end_pos, pii_type``.
 
-    Forms that decide by themselves (addresses of mail, telephone and identity numbers, streets with
-    towns, a given name beside a surname) are protected pieces. How strongly a word gives such a
-    piece away is measured over the whole corpus, by its co-occurrence with them against all
-    numbers and names in the texts; a piece of open form (a bare number, an initial or title with a
-    name) is personal when the words around it and its own rare word exceed the threshold.
-    Positions count code points. Null and empty texts have no pieces; texts that repeat are each
-    reported; every text is read in full.
+    Candidates are all pieces of personal form and every other capitalised term. How strongly a word
+    gives a protected piece away is measured over the whole corpus, by its co-occurrence with
+    pieces of certain form (mail and street addresses, telephone and identity numbers, a given
+    name of the protected list beside a surname) against all other numbers and names in the texts.
+    Each candidate, those of certain form too, is weighed by the words around it, its own rare
+    word and its form, and is personal when they exceed the threshold: a number of certain form
+    among words that go with invoices is none. Positions count code points. Null and empty texts
+    have no pieces; texts that repeat are each reported; every text is read in full.
     """
     pieces = scan(texts, given_names(persons))
-    family = F.when(F.col("kind").isin("person_name", "slot"), "name").otherwise("number")
-    pieces = materialise(pieces.withColumn("family", family), "pieces")
-    weighed = pieces.where("kind <> 'email' and kind <> 'address'")
-    open_pieces = pieces.where("not certain and kind in ('id_number', 'phone', 'person_name')")
-    scored = open_pieces
-    for column in ("left_word", "right_word", "term"):
-        bits = disclosure(weighed, column).select("family", F.col("word").alias(column), F.col("bits").alias(f"bits_{column}"))
-        scored = scored.join(bits, ["family", column], "left")
-    total = F.coalesce("bits_left_word", F.lit(0.0)) + F.coalesce("bits_right_word", F.lit(0.0)) + F.when(F.col("family") == "name", F.greatest(F.coalesce("bits_term", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
-    found = scored.where(total >= LEAST_BITS).select(pieces.columns).unionByName(pieces.where("certain"))
-    return found.select("tab", "row_key", "start_pos", "end_pos", F.col("kind").alias("pii_type"))
+    kind = F.col("kind")
+    family = F.when(kind.isin("person_name", "slot"), "name").when(kind.isin("email", "address"), kind).otherwise("number")
+    weighed = weigh(materialise(pieces.withColumn("family", family), "pieces"))
+    found = weighed.where(F.col("bits") >= LEAST_BITS).withColumn("pii_type", F.when(kind == "slot", "person_name").otherwise(kind))
+    return found.select("tab", "row_key", "start_pos", "end_pos", "pii_type")
 
 
 def texts_of(messages: DataFrame, artifacts: DataFrame) -> DataFrame:

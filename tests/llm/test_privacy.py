@@ -39,7 +39,7 @@ def corpus(spark):
     rows = []
     for i in range(60):
         rows += [f"ask Ingrid Sur{chr(97 + i % 20)}name for the keys", f"ID card ZW14209{i:02d} was scanned", f"parcel no. 0048412{i:04d} left the depot", "Waiting for Fernwick to open"]
-    rows += ["ask J. Suraname for the keys", "ID card 958 722 605 was scanned", "parcel no. 958 722 605 left the depot", "see A. Fernwick to open", None, "", "Ingrid Suraname " * 3000]
+    rows += ["ask J. Suraname for the keys", "ID card 958 722 605 was scanned", "parcel no. 958 722 605 left the depot", "see A. Fernwick to open", "parcel no. 948-85-1552 left the depot", "ask Weskinupin for the keys", None, "", "Ingrid Suraname " * 3000]
     m = spark.createDataFrame([(i, t, "k", 1, "x") for i, t in enumerate(rows)], "delivery_id bigint, content string, kind string, family int, tab string")
     a = spark.createDataFrame([("A1", "ask Ingrid Surbname for the keys", 1)] * 2 + [(None, "ask Ingrid Surbname", 1)], "artifact_id string, content string, term int")
     persons = spark.createDataFrame([(f"E{i}", f"Ingrid Name{i}", "PERSON") for i in range(4)] + [("N", None, None)], "entity_id string, canonical_name string, entity_type string")
@@ -53,6 +53,8 @@ def test_open_forms_follow_the_words_around(corpus):
     key = {t: str(i) for i, t in enumerate(rows) if t}
     assert (key["ask J. Suraname for the keys"], "person_name", 4, 15) in got
     assert (key["ID card 958 722 605 was scanned"], "id_number", 8, 19) in got
+    # among the words of parcel numbers a sure form is none; a name of no known form is one among those of names
+    assert not [g for g in got if g[0] == key["parcel no. 948-85-1552 left the depot"]]
     assert not [g for g in got if g[0] in (key["parcel no. 958 722 605 left the depot"], key["see A. Fernwick to open"], key["Waiting for Fernwick to open"])]
     assert sum(g[0] == str(len(rows) - 1) for g in got) == 3000
 
