@@ -5,22 +5,31 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from mnesis.shared import spread
+from mnesis.shared import materialise, parallelism, spread
 
 #: Fixed masks over neighbouring tokens; a zero ignores its position, so one altered word between two
 #: kept ones does not hide a passage.
 MASKS = ("11101", "110101", "1011001")
-#: Test passages that are held at once; more of them are worked through in blocks of this size.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter that spares the join windows no test passage has. Its size is fixed (2 MB), however many
+#: passages there are; a full filter spares nothing and loses nothing.
+FILTER_BITS = 24
+#: Positions of one masked window in test passages that stand in one row of the index; more go to further rows.
+POSTINGS = 64
 LEAST_WORDS, LEAST_SHARE = 20, 1 / 3
 COST, LEAST_EQUAL = 3.0, 0.88
+#: The hits of a stretch lie on diagonals of two neighbouring bands, at this share of the needed words at least. One
+#: with a word in eight altered has a hit at more than every second place; shared phrases about other facts are
+#: scattered over many diagonals and stay far below.
 BAND, LEAST_HIT_SHARE = 16, 0.4
+LEAST_HITS = int(np.ceil(LEAST_HIT_SHARE * LEAST_WORDS))
 
 _TOKEN = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[>\s]*(?=[^\W\d_])")
@@ -28,6 +37,8 @@ _HEAD = re.compile(
     r"^[ \t]*(?:(?:\[?\d{4}-\d{2}-\d{2},? \d{1,2}(?: h |[:h])\d{2}[^-:\n]{0,6}\]? ?-? ?[^:\n]{1,30}:|>+|[-*•–|#]+|\(?\d{1,3}[.)])[ \t]+)+", re.MULTILINE
 )
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){4,}[^\W_](?!\S)")
+_INVISIBLE = {ord(c): None for c in "\u00ad\u200b\u2060"}
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,71 +48,103 @@ def tokens(text: str) -> list[str]:
     Line breaks, quote marks, list marks, runs of spaces, invisible signs and letters set apart by
     single spaces are layout.
     """
-    s = unicodedata.normalize("NFKD", text.replace("­", "").replace("​", "").replace("⁠", "").lower())
-    if s.isascii() is False:
-        s = "".join(c for c in s if not unicodedata.combining(c))
+    s = text.translate(_INVISIBLE).lower()
+    if not s.isascii():
+        s = _MARKS.sub("", unicodedata.normalize("NFKD", s))
     return _TOKEN.findall(s)
 
 
-@dataclass
-class SeedIndex:
-    """Hashes of all masked windows of the test passages, sorted."""
+@lru_cache(maxsize=1 << 18)
+def _code(token: str) -> int:
+    return xxhash.xxh64_intdigest(token)
 
-    item_ids: np.ndarray
-    words: list[np.ndarray]  # token ids of each passage
-    word_of: list[np.ndarray]  # the written word that each token belongs to
-    n_words: np.ndarray
-    vocabulary: dict[str, int]
-    near: dict[str, list[str]]  # tokens by the forms that lack one letter
-    hashes: np.ndarray
-    owner: np.ndarray
-    position: np.ndarray
 
+def _codes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_code, words), dtype=np.uint64, count=len(words))
 
-def _windows(ids: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window under ``mask`` and whether all kept positions are known words."""
-    n = len(ids) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h, known = np.full(n, salt, dtype=np.uint64), np.ones(n, dtype=bool)
+
+def _windows(codes: np.ndarray, mask: str, salt: int) -> np.ndarray:
+    """Hash of each window of token codes under ``mask``."""
+    n = max(0, len(codes) - len(mask) + 1)
+    h = np.full(n, salt, dtype=np.uint64)
     for k, keep in enumerate(mask):
         if keep == "1":
-            part = ids[k : k + n]
-            h = (h ^ part.astype(np.uint64)) * _PRIME
+            h = (h ^ codes[k : k + n]) * _PRIME
             h ^= h >> np.uint64(31)
-            known &= part > 0
-    return h, known
-
-
-def build_index(items: pd.DataFrame) -> SeedIndex:
-    vocabulary: dict[str, int] = {}
-    words, word_of, n_words = [], [], []
-    for text in items["text"]:
-        ids, owner, k = [], [], 0
-        for written in (text or "").split():
-            own = tokens(written)
-            ids += [vocabulary.setdefault(t, len(vocabulary) + 1) for t in own]
-            owner += [k] * len(own)
-            k += bool(own)
-        words.append(np.array(ids, dtype=np.int64))
-        word_of.append(np.array(owner, dtype=np.int64))
-        n_words.append(k)
-    hashes, owners, positions = [], [], []
-    for i, ids in enumerate(words):
-        for salt, mask in enumerate(MASKS, 1):
-            h, _ = _windows(ids, mask, salt)
-            hashes.append(h)
-            owners.append(np.full(len(h), i, dtype=np.int64))
-            positions.append(np.arange(len(h)))
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    h, o, p = cat(hashes, np.uint64), cat(owners, np.int64), cat(positions, np.int64)
-    order = np.argsort(h, kind="stable")
-    near: dict[str, list[str]] = {}
-    for t in vocabulary:
-        if len(t) >= 4 and not t.isdigit():
-            for k in range(len(t)):
-                near.setdefault(t[:k] + t[k + 1 :], []).append(t)
-    return SeedIndex(items["item_id"].to_numpy(), words, word_of, np.array(n_words), vocabulary, near, h[order], o[order], p[order])
+    return h
+
+
+def document_words(text: str) -> list[str]:
+    """Tokens of a document without heads of chat lines, list marks, and breaks within words."""
+    return tokens(_SPACED.sub(lambda m: m.group().replace(" ", ""), _HEAD.sub("", _BREAK.sub("", text))))
+
+
+def test_windows(items: DataFrame) -> DataFrame:
+    """``hash, postings``: the masked windows of the test passages with item, position and words needed."""
+    schema = "hash bigint, item_id bigint, pos int, need int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for item, text in zip(pdf["item_id"], pdf["text"]):
+                codes, n_words = _codes(tokens(text)), sum(bool(tokens(w)) for w in text.split())
+                for salt, mask in enumerate(MASKS, 1):
+                    h = _windows(codes, mask, salt)
+                    need = max(LEAST_WORDS, int(np.ceil(n_words * LEAST_SHARE)))
+                    parts.append(pd.DataFrame({"hash": h.view(np.int64), "item_id": item, "pos": np.arange(len(h), dtype=np.int32), "need": np.int32(need)}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"hash": [], "item_id": [], "pos": [], "need": []})
+
+    rows = items.mapInPandas(run, schema)
+    # a phrase of many passages is spread over rows of a bounded number of postings
+    part = F.pmod(F.xxhash64("item_id", F.floor(F.col("pos") / POSTINGS)), F.lit(1 << 20))
+    return rows.groupBy("hash", part.alias("part")).agg(F.collect_list(F.struct("item_id", "pos", "need")).alias("postings")).select("hash", "postings")
+
+
+def window_filter(windows: DataFrame) -> np.ndarray:
+    """One bit for each value of the first ``FILTER_BITS`` bits of a hash: whether any test window has them."""
+    slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bits = windows.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(%s as int))" % f"shiftrightunsigned(hash, {64 - FILTER_BITS}) % 64")).alias("bits"))
+    got = bits.toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def suspects(documents: DataFrame, known: np.ndarray) -> DataFrame:
+    """``doc_id, words, hits``: documents with enough windows that pass the filter, their tokens and those windows.
+
+    The tokens of a batch are hashed as one array. A stretch has ``LEAST_HITS`` places at least where
+    a window is a test passage's, so documents with fewer places that pass are done.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    schema = "doc_id bigint, words string, hits array<struct<hash:bigint,at:int>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = shared.value
+        for pdf in batches:
+            words = [document_words(t) for t in pdf["text"]]
+            sizes = np.array([len(w) for w in words], dtype=np.int64)
+            starts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(words)), sizes)
+            codes = _codes([w for own in words for w in own])
+            places, hashes = [], []
+            for salt, mask in enumerate(MASKS, 1):
+                h = _windows(codes, mask, salt)
+                at = np.flatnonzero(seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                at = at[owner[at] == owner[at + len(mask) - 1]]
+                places.append(at)
+                hashes.append(h[at].view(np.int64))
+            at, h = np.concatenate(places), np.concatenate(hashes)
+            order = np.argsort(at, kind="stable")
+            at, h = at[order], h[order]
+            n = np.bincount(owner[np.unique(at)], minlength=len(words)) if len(at) else np.zeros(len(words), int)
+            rows = []
+            for k in np.flatnonzero(n >= LEAST_HITS):
+                lo, hi = np.searchsorted(at, (starts[k], starts[k] + sizes[k]))
+                rows.append((pdf["doc_id"].iat[k], " ".join(words[k]), list(zip(h[lo:hi].tolist(), (at[lo:hi] - starts[k]).tolist()))))
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "hits"])
+
+    return documents.mapInPandas(run, schema)
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
@@ -142,103 +185,80 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     return j, last, matches, last - j + 1 - matches
 
 
-def _leaks_of(texts: list[str], index: SeedIndex) -> list[tuple[int, int, int, float]]:
-    """``(row, item, words covered, share of equal words)`` for every text that carries a long enough stretch."""
-    found = []
-    vocabulary, near = index.vocabulary, index.near
-    for row, text in enumerate(texts):
-        own = tokens(_SPACED.sub(lambda m: m.group().replace(" ", ""), _HEAD.sub("", _BREAK.sub("", text))))
-        ids = np.fromiter((vocabulary.get(t, 0) for t in own), dtype=np.int64, count=len(own))
-        if (ids > 0).sum() < 8:
-            continue
-        hits_d, hits_o, hits_p = [], [], []
-        for salt, mask in enumerate(MASKS, 1):
-            h, known = _windows(ids, mask, salt)
-            at = np.flatnonzero(known)
-            lo, hi = np.searchsorted(index.hashes, h[at], "left"), np.searchsorted(index.hashes, h[at], "right")
-            n = hi - lo
-            if n.sum():
-                rep = np.repeat(np.arange(len(at)), n)
-                k = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + lo[rep]
-                hits_d.append(at[rep])
-                hits_o.append(index.owner[k])
-                hits_p.append(index.position[k])
-        if not hits_d:
-            continue
-        d, o, p = np.concatenate(hits_d), np.concatenate(hits_o), np.concatenate(hits_p)
-        # words that a slip of the keyboard changed stand for the test word they are one letter from
-        for k in np.flatnonzero(ids == 0):
-            t = own[k]
-            if len(t) < 4 or t.isdigit():
-                continue
-            options = set(near.get(t, ()))
-            for c in range(len(t)):
-                cut = t[:c] + t[c + 1 :]
-                if cut in vocabulary:
-                    options.add(cut)
-                options.update(near.get(cut, ()))
+def _mended(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+    """Ids of words; one that a slip of the keyboard changed stands for the only test word one letter from it."""
+    near: dict[str, set[str]] = {}
+    for t in vocabulary:
+        if len(t) >= 4 and not t.isdigit():
+            for k in range(len(t)):
+                near.setdefault(t[:k] + t[k + 1 :], set()).add(t)
+    ids = np.zeros(len(words), dtype=np.int64)
+    for k, t in enumerate(words):
+        ids[k] = vocabulary.get(t, 0)
+        if not ids[k] and len(t) >= 4 and not t.isdigit():
+            cuts = [t[:c] + t[c + 1 :] for c in range(len(t))]
+            options = set(near.get(t, ())).union(*(near.get(c, ()) for c in cuts), (c for c in cuts if c in vocabulary))
             if len(options) == 1:
                 ids[k] = vocabulary[options.pop()]
-        for item in np.unique(o):
-            mine = o == item
-            need = max(LEAST_WORDS, int(np.ceil(index.n_words[item] * LEAST_SHARE)))
-            # The hits of a stretch lie on neighbouring diagonals. One with a word in eight altered still
-            # has a hit at more than every second place; shared phrases about other facts are
-            # scattered over many diagonals and stay far below.
-            lane = (d[mine] - p[mine]) // BAND
-            lanes = {int(x): set() for x in np.unique(lane)}
-            for x, at in zip(lane.tolist(), p[mine].tolist()):
-                lanes[x].add(at)
-            if max(len(s | lanes.get(x + 1, set())) for x, s in lanes.items()) < LEAST_HIT_SHARE * need:
-                continue
-            # a document may quote far-apart parts: align around the stretch of hits, with room for the rest
-            words = index.words[item]
-            dd = np.unique(d[mine])
-            breaks = np.flatnonzero(np.diff(dd) > len(words) + 40)
-            for part in np.split(dd, breaks + 1):
-                lo, hi = max(0, part[0] - 30), min(len(ids), part[-1] + 40)
-                a, b, matches, altered = align(ids[lo:hi], words)
-                if b < a:
-                    continue
-                span = len(np.unique(index.word_of[item][a : b + 1]))
-                share = matches / (b - a + 1)
-                if span >= need and share >= LEAST_EQUAL:
-                    found.append((row, int(index.item_ids[item]), span, share))
-                    break
-    return found
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    return ids
+
+
+def verified(words: list[str], spans: list[tuple[int, int]], passage: str) -> tuple[int, float] | None:
+    """Words covered and share of equal words of the best stretch around the hits, if it is long and alike enough."""
+    written = [own for w in passage.split() if (own := tokens(w))]
+    item = [t for own in written for t in own]
+    word_of = np.repeat(np.arange(len(written)), [len(own) for own in written])
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(item), 1)}
+    own = np.array([vocabulary[t] for t in item], dtype=np.int64)
+    need = max(LEAST_WORDS, int(np.ceil(len(written) * LEAST_SHARE)))
+    best, parts = None, []
+    for lo, hi in sorted(spans):  # far-apart parts are aligned each for itself
+        if parts and lo - parts[-1][1] <= len(item) + 40:
+            parts[-1][1] = max(parts[-1][1], hi)
+        else:
+            parts.append([lo, hi])
+    for lo, hi in parts:
+        a, b, matches, _ = align(_mended(words[max(0, lo - 30) : hi + 40], vocabulary), own)
+        if b >= a:
+            span, share = len(np.unique(word_of[a : b + 1])), matches / (b - a + 1)
+            if span >= need and share >= LEAST_EQUAL and (best is None or (span, share) > best):
+                best = (span, share)
+    return best
+
+
+def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, words, share``: documents that carry one stretch of a test passage.
 
     The stretch covers at least a third of the passage's words and no fewer than 20, with a few
-    words altered, lost or added, in any layout. Hashes of the passages' masked windows are joined
-    to those of the documents' windows in each task: the test side is held in blocks of
-    ``block_items`` passages, so its size is bounded however many there are. Null and empty texts
-    give no row; repeated documents and passages are reported for each copy's id once.
+    words altered, lost or added, in any layout. Hashes of the masked windows of passages and
+    documents are joined; hits on neighbouring diagonals are counted for each document and passage,
+    and where there are enough of them the stretch is aligned. The corpus is scanned once, however
+    many passages there are. Null and empty texts give no row; repeated documents and passages are
+    reported for each copy's id once.
     """
     spark = documents.sparkSession
-    schema = "doc_id bigint, item_id bigint, words int, share double"
-    columns = ["doc_id", "item_id", "words", "share"]
-    docs = spread(documents.select("doc_id", "text")).where("text is not null and text <> ''")
-    ordered = items.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id")
-    out, block = None, []
-
-    def probe(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(pd.DataFrame(rows, columns=["item_id", "text"])))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for pdf in batches:
-                ids = pdf["doc_id"].to_numpy()
-                yield pd.DataFrame([(ids[r], i, w, s) for r, i, w, s in _leaks_of(list(pdf["text"]), index)], columns=columns)
-
-        return docs.mapInPandas(search, schema)
-
-    for row in ordered.toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == block_items:
-            out, block = probe(block) if out is None else out.unionByName(probe(block)), []
-    if block or out is None:
-        out = probe(block) if out is None else out.unionByName(probe(block))
-    return out.groupBy("doc_id", "item_id").agg({"words": "max", "share": "max"}).toDF("doc_id", "item_id", "words", "share")
+    passages = items.where("text is not null and item_id is not null").select("item_id", "text")
+    windows = materialise(test_windows(passages), "test-windows")
+    docs = spread(documents.select("doc_id", "text")).where("doc_id is not null and text is not null and text <> ''")
+    found = suspects(docs, window_filter(windows)).withColumn("row", F.xxhash64("doc_id", "words"))
+    found = materialise(found, "leak-suspects")
+    hits = found.select("row", F.explode("hits").alias("h")).select("row", "h.hash", "h.at").join(windows, "hash").select("row", "at", F.explode("postings").alias("p"))
+    lane = F.floor((F.col("at") - F.col("p.pos")) / BAND)
+    lanes = (
+        hits.select("row", "p.item_id", "p.need", "at", "p.pos", F.explode(F.array(lane, lane - 1)).alias("lane"))
+        .groupBy("row", "item_id", "need", "lane").agg(F.size(F.collect_set("pos")).alias("n"), F.size(F.collect_set("at")).alias("m"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+        .where(F.least("n", "m") >= F.col("need") * LEAST_HIT_SHARE)
+    )
+    candidates = lanes.groupBy("row", "item_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    pairs = candidates.join(found.select("row", "doc_id", "words"), "row").join(passages, "item_id").select("doc_id", "item_id", "words", "spans", "text")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, item, words, spans, text in zip(pdf["doc_id"], pdf["item_id"], pdf["words"], pdf["spans"], pdf["text"]):
+                if got := verified(words.split(" "), [(x["lo"], x["hi"]) for x in spans], text):
+                    rows.append((doc, item, *got))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "share"])
+
+    out = pairs.repartition(parallelism(spark), "doc_id", "item_id").mapInPandas(verify, "doc_id bigint, item_id bigint, words int, share double")
+    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("share").alias("share"))

@@ -13,7 +13,7 @@ OTHER = "Rain soaked the 811 ballots which Kappa had stored beneath the Quillbur
 def leak(spark, text, items=None):
     docs = spark.createDataFrame([(1, text, 5, "x"), (2, None, 5, "x"), (3, "", 5, "x")], "doc_id bigint, text string, item_id int, share string")
     items = items or [(10, " ".join(ITEM)), (11, " ".join(OTHER)), (12, None)]
-    return sorted((r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_items=1).collect())
+    return sorted((r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect())
 
 
 FILL = "we met on the way and talked about nothing in particular "
