@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from mnesis.operators.dedup import MessageStore, canonical_id, dropped_copies
 
 SCHEMA = "delivery_id bigint, message_id string, channel string, received_at timestamp, content string, bucket int, k1 string, rank string"
@@ -42,3 +44,15 @@ def test_upsert_is_idempotent_and_compaction_merges_batches(spark, at):
     assert sorted(r.delivery_id for r in store.read().collect()) == want and len(store.runs) == 1
     store.upsert(a, "1")
     assert sorted(r.delivery_id for r in store.read().collect()) == want
+    again = MessageStore(spark, store.path)  # a store opened at its path knows its runs
+    assert again.buckets == 3 and again.runs == store.runs and sorted(r.delivery_id for r in again.read().collect()) == want
+    again.upsert(b, "2")
+    again.compact()
+    assert sorted(r.delivery_id for r in MessageStore(spark, store.path).read().collect()) == want
+    assert "Exchange" not in again._collapse(again._rows())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_in_several_batches(spark, at):
+    rows = [(i, f"m{i % 7}", "sms", at(8)) for i in range(40)]
+    batches = frame(spark, rows).withColumn("batch_id", F.expr("case when delivery_id % 5 < 4 then concat('b', delivery_id % 5) end"))
+    assert sorted(r.delivery_id for r in dropped_copies(batches).collect()) == list(range(33))
