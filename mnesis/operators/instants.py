@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years whose intervals are listed. All zones have one offset before; after, they follow fixed rules, which the last 28
+#: listed years show for every kind of year (first weekday, leap year or not).
+FIRST_YEAR, LAST_YEAR = 1800, 2128
 
 # Month names of the notations (English and French by their first letters, others in full),
 # without accents.
@@ -62,7 +64,7 @@ def _zone_rows(zones: pd.Series) -> pd.DataFrame:
             local_start, own_end = start + off, end + off
             next_start = end + spans[i + 1][1] if i + 1 < len(spans) else 10**12
             before, before_end = (spans[i - 1][1], start + spans[i - 1][1]) if i else (off, -(10**12))
-            lo_year = max(FIRST_YEAR, 1970 + max(local_start, -2208988800 + 0) // 31556952 - 1) if i else FIRST_YEAR
+            lo_year = max(FIRST_YEAR, 1970 + local_start // 31556952 - 1) if i else FIRST_YEAR
             hi_year = min(LAST_YEAR, 1970 + next_start // 31556952 + 1) if i + 1 < len(spans) else LAST_YEAR
             for year in range(int(lo_year), int(hi_year) + 1):
                 lo_s = seconds(dt.datetime(year, 1, 1, tzinfo=utc))
@@ -72,18 +74,21 @@ def _zone_rows(zones: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["zone", "year", "asof_from", "asof_to", "own_end", "off_s", "prev_off_s", "prev_end"])
 
 
-def zone_intervals(spark: SparkSession, zones: list[str] | None = None) -> DataFrame:
-    """Offset intervals of every IANA zone in local seconds, one row per zone and year they touch.
+def zone_intervals(spark: SparkSession, zones: DataFrame | None = None) -> DataFrame:
+    """Offset intervals of IANA zones in local seconds, one row per zone and year they touch.
 
+    ``zones``: ``zone``, the names that occur in any case and with repetitions; all zones without it.
     ``asof_from <= local < asof_to`` selects the as-of row of a wall-clock reading. The reading lies
     in the row's own interval when it is below ``own_end``, and also in the one before when it is
-    below ``prev_end``. The size is bounded by the zone database (about 600 zones and 200 years).
+    below ``prev_end``. The size is bounded by the zone database (about 600 zones and 330 years),
+    whatever ``zones`` holds.
     """
-    names = sorted(zones or zoneinfo.available_timezones() - {"localtime", "posixrules"})
+    names = {x.lower(): x for x in sorted(zoneinfo.available_timezones() - {"localtime", "posixrules"})}
     schema = "zone string, year int, asof_from bigint, asof_to bigint, own_end bigint, off_s int, prev_off_s int, prev_end bigint"
-    n = min(len(names), max(2, spark.sparkContext.defaultParallelism))
-    source = spark.createDataFrame([(x,) for x in names], "zone string").repartition(n)
-    return source.mapInPandas(lambda it: (_zone_rows(p["zone"]) for p in it), schema)
+    if zones is None:
+        zones = spark.createDataFrame([(x,) for x in names], "zone string")
+    source = zones.select(F.lower(F.trim("zone")).alias("zone")).where(F.col("zone").isin(*names)).distinct().repartition(max(2, spark.sparkContext.defaultParallelism))
+    return source.mapInPandas(lambda it: (_zone_rows(p["zone"].map(names)) for p in it), schema)
 
 
 def _int(c: Column) -> Column:
@@ -202,10 +207,18 @@ def resolve_instants(parsed: DataFrame, intervals: DataFrame) -> DataFrame:
     was skipped and is read with the offset before the change; one gives the offset directly.
     """
     z = F.broadcast(intervals)  # bounded by the zone database
-    on = (F.col("_zone") == z["zone"]) & (F.col("_read_year") == z["year"]) & (F.col("_local_s") >= z["asof_from"]) & (F.col("_local_s") < z["asof_to"])
+    leap = lambda y: ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    kind = lambda y: F.dayofweek(F.make_date(y, F.lit(1), F.lit(1))) * 2 + leap(y).cast("int")
+    alike = {dt.date(y, 1, 1).isoweekday() % 7 * 2 + 2 + (y % 4 == 0): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    year = F.col("_read_year")
+    late = F.element_at(F.create_map(*[F.lit(int(x)) for pair in alike.items() for x in pair]), kind(F.greatest(year, F.lit(1))))
+    shown = F.when(year > LAST_YEAR, late).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
+    days = F.date_diff(F.make_date(F.greatest(year, F.lit(1)), F.lit(1), F.lit(1)), F.make_date(shown, F.lit(1), F.lit(1)))
+    parsed = parsed.withColumns({"_shown_year": shown, "_at": F.col("_local_s") - F.when(year > LAST_YEAR, days.cast("bigint") * 86400).otherwise(0)})
+    on = (F.col("_zone") == z["zone"]) & (F.col("_shown_year") == z["year"]) & (F.col("_at") >= z["asof_from"]) & (F.col("_at") < z["asof_to"])
     joined = parsed.join(z, on, "left")
-    n = (F.col("_local_s") < F.col("prev_end")).cast("int") + (F.col("_local_s") < F.col("own_end")).cast("int")
-    offset = F.coalesce("_off_s", F.when(F.col("_local_s") < F.col("prev_end"), F.col("prev_off_s")).otherwise(F.col("off_s")))
+    n = (F.col("_at") < F.col("prev_end")).cast("int") + (F.col("_at") < F.col("own_end")).cast("int")
+    offset = F.coalesce("_off_s", F.when(F.col("_at") < F.col("prev_end"), F.col("prev_off_s")).otherwise(F.col("off_s")))
     kept = [c for c in parsed.columns if not c.startswith("_")]
     return joined.select(
         *[parsed[c] for c in kept],
@@ -228,5 +241,8 @@ def normalise_timestamps(records: DataFrame, channels: DataFrame, intervals: Dat
     zone = F.coalesce(F.when(F.trim("_export") != "", F.col("_export")), F.col("_home"))
     parsed = parse_readings(rows, "timestamp_raw", F.col("_order"), zone).where("_local_s is not null")
     parsed = parsed.select("record_id", "_local_s", "_frac_us", "_off_s", "_zone", "_read_year")
-    intervals = zone_intervals(records.sparkSession) if intervals is None else intervals
+    if intervals is None:  # only of the zones that occur
+        written = F.regexp_extract("timestamp_raw", r"([A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)", 1)
+        occurring = records.select(F.explode(F.array("export_zone", written)).alias("zone")).distinct().unionByName(channels.select(F.col("home_zone").alias("zone")))
+        intervals = zone_intervals(records.sparkSession, occurring)
     return resolve_instants(parsed, intervals).where("utc_us is not null")

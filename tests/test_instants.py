@@ -9,7 +9,7 @@ ZONES = ["Europe/Paris", "America/Toronto", "Asia/Kolkata", "Australia/Sydney",
 
 @pytest.fixture(scope="module")
 def intervals(spark):
-    return zone_intervals(spark, ZONES).cache()
+    return zone_intervals(spark, spark.createDataFrame([(z,) for z in ZONES], "zone string")).cache()
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,16 @@ def test_unknown_channel_and_repeats(read):
 def test_intervals_cover_each_reading_once(intervals):
     rows = intervals.where("zone = 'europe/paris' and year = 2021").orderBy("asof_from").collect()
     assert all(a.asof_to == b.asof_from for a, b in zip(rows, rows[1:])) and len(rows) == 3
+
+
+def test_any_year_as_the_zone_database_has_it(spark, read):
+    from zoneinfo import ZoneInfo
+
+    days = [(y, m, 10) for y in (1, 1650, 1850, 1899, 1901, 2099, 2100, 2101, 2129, 2150, 2300, 2400, 2401, 5000, 9998) for m in (1, 4, 7, 11)]
+    values, want = [], []
+    for zone in ("Europe/Paris", "America/Toronto", "Australia/Sydney"):
+        for y, m, d in days:
+            values.append((f"{y:04d}-{m:02d}-{d:02d} 12:00:00", "dmy", zone))
+            local = dt.datetime(y, m, d, 12, tzinfo=ZoneInfo(zone))
+            want.append(str((local - local.utcoffset()).replace(tzinfo=None)))
+    assert read(values) == want
