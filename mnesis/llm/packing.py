@@ -20,22 +20,26 @@ BLOCK_ITEMS = 20_000
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def encoder(path: str):
-    """A byte-level tokenizer from a file of ranks."""
+def encoder(ranks: bytes):
+    """A byte-level tokenizer from the content of a file of ranks."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` of whole texts; null texts have 0 tokens."""
+    """``doc_id, n_tokens`` of whole texts; null texts have 0 tokens.
+
+    The file of ranks (a public vocabulary, about a megabyte) is read on the driver and sent to the tasks.
+    """
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(ranks.value).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in pdf["text"]]})
 
@@ -79,7 +83,7 @@ _SCHEMA = "doc_id bigint, piece_no int, n_tokens bigint, block bigint, container
 
 
 def _pack_block(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True]).reset_index(drop=True)
+    pdf = pdf.sort_values(["doc_id", "piece_no", "n_tokens"]).reset_index(drop=True)
     if len(pdf):
         pdf["container"], pdf["start_at"] = sum_of_squares(pdf["n_tokens"].to_numpy(), capacity)
     else:
@@ -93,7 +97,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     Items longer than the capacity are split into full pieces and a rest; no other item is split.
     Items of no tokens need no room: they keep one row with a null container. Items are spread
     by a hash over blocks of about ``block_items`` and packed block by block with the sum of
-    squares rule, longest first; equal sizes are ordered by id. A repeated ``doc_id`` is an item
+    squares rule online, one after the other in the order of their ids. A repeated ``doc_id`` is an item
     of its own. Negative and null sizes count as 0; an empty table gives an empty result.
     """
     n = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0))
