@@ -41,7 +41,7 @@ def canonical(text: str | None) -> tuple[str, ...] | None:
     while m := _LEAD.match(s):
         s = s[m.end() :]
     while m := _TAIL.search(s, max(0, len(s) - 200)):  # a bounded look back keeps long texts linear
-        s = s[: m.start()]
+        s = s[: m.start()]  # longer trifles go in several steps
     return tuple(_WORD.findall(s)) or (whole,)
 
 
@@ -125,13 +125,26 @@ _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
 def _symbols(forms: list, carried: tuple | None) -> str:
-    """One code point per entry; equal neighbours are the same event. ``carried``: first and last form and code of the open run."""
+    """One code point per entry, by a dictionary of canonical events: an event has the same one wherever it recurs.
+
+    A form nearly the same as that of the entry before, or of the first entry of its run, stands for
+    that event. Blank entries have a code point of their own each, so nothing repeats them. ``carried``:
+    first and last form and code of the open run. When the code points are used up the dictionary
+    starts anew; only neighbours are ever compared through it.
+    """
     first, last, code = carried or (None, None, _FIRST_CODE)
-    out = []
+    known = {} if last is None else {first: code, last: code}
+    free, out = _FIRST_CODE + 1, []
     for f in forms:
         if f is None or last is None or not (same_event(f, last) or same_event(f, first)):
-            code = _FIRST_CODE if code == _LAST_CODE else code + 1
-            first = f
+            own = known.get(f) if f is not None else None
+            if own is None or own == code:
+                if free > _LAST_CODE:
+                    known, free = {}, _FIRST_CODE + 1
+                own, free = (free, free + 1) if free != code else (free + 1, free + 2)
+            code, first = own, f
+        if f is not None:
+            known.setdefault(f, code)
         last = f
         out.append(chr(code))
     return "".join(out)
@@ -207,8 +220,8 @@ def collapse_runs(artifacts: DataFrame, partitions: int | None = None) -> DataFr
     Entries with author, time and id, each id once, are ordered by author, time and id. They are
     range-partitioned on that whole order, so the entries of one author may span any number of
     tasks; runs cut by a task boundary are joined afterwards from two rows per task. In each piece
-    entries are mapped to code points, equal for neighbours that report the same thing, and runs
-    are the backreference matches of the resulting string. Null and blank contents belong to no
+    entries are mapped to the code points of their canonical events, and runs are the backreference
+    matches of the resulting string. Null and blank contents belong to no
     run and end one; entries without author, time or id take no part; equal times are ordered by
     id; an empty table gives no runs.
     """
