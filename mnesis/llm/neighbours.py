@@ -15,7 +15,10 @@ from mnesis.shared import materialise
 
 #: Rows the cell centres are fitted on at most (those with the smallest hashes of their ids).
 FIT_ROWS = 40_000
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 600, 4096, 6000
+LIST_ROWS, BLOCK_ROWS = 600, 6000
+#: Coarse centres at most; beyond, each is divided by one set of residuals into as many fine cells as keep a cell at
+#: about ``LIST_ROWS`` rows. So every task holds ``MOST_LISTS`` centres and as many residuals at most.
+MOST_LISTS = 4096
 #: A vector also looks into the cells whose border is at most this far from it.
 BORDER = 0.06
 #: Width of the error bound of a one-bit estimate, in standard deviations.
@@ -26,34 +29,93 @@ MOST_COPIES = 64
 
 @dataclass
 class Cells:
-    """Unit centres, how many blocks the rows of a cell are spread over, and the random rotation."""
+    """Unit centres, residuals that divide each centre's cell, blocks of a cell's rows, and the random rotation.
+
+    Cell ``i * len(residuals) + j`` lies around ``centres[i] + residuals[j]``.
+    """
 
     centres: np.ndarray
-    blocks: np.ndarray
+    residuals: np.ndarray
+    rows: np.ndarray  # expected in the cell of a centre
+    shares: np.ndarray  # of the rows that lie nearest to each residual
     rotation: np.ndarray
     border_norm: np.ndarray  # distance between each two centres
+    residual_norm: np.ndarray  # and each two residuals
+
+    def blocks(self, cell: np.ndarray) -> np.ndarray:
+        """Number of blocks that the rows of each cell are spread over."""
+        i, j = np.divmod(cell, len(self.residuals))
+        return np.maximum(1, np.ceil(self.rows[i] * self.shares[j] / BLOCK_ROWS)).astype(np.int64)
+
+    def look(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own cell of each row; and the row and cell of every further cell whose border is near it."""
+        f, row = len(self.residuals), np.arange(len(X))
+        sims = X @ self.centres.T
+        first = sims.argmax(axis=1)
+        border = (sims[row, first][:, None] - sims) / self.border_norm[first]
+        border[row, first] = -1
+        q, centre = np.nonzero(border <= BORDER)
+        if f == 1:
+            away = centre != first[q]
+            return first, q[away], centre[away]
+        own = np.zeros(len(X), dtype=np.int64)
+        qs, cells = [], []
+        for lo in range(0, len(q), 4096):
+            a, c = q[lo : lo + 4096], centre[lo : lo + 4096]
+            R = X[a] - self.centres[c]
+            d = (self.residuals**2).sum(axis=1)[None, :] - 2 * (R @ self.residuals.T)
+            best = d.argmin(axis=1)
+            k = np.arange(len(a))
+            gap = (d - d[k, best][:, None]) / (2 * self.residual_norm[best])
+            gap[k, best] = -1
+            home = c == first[a]
+            own[a[home]] = c[home] * f + best[home]
+            r, j = np.nonzero(gap <= BORDER)
+            away = ~(home[r] & (j == best[r]))
+            qs.append(a[r][away])
+            cells.append((c[r] * f + j)[away])
+        return own, np.concatenate(qs), np.concatenate(cells)
+
+
+def _means(sample: np.ndarray, k: int, rng: np.random.Generator, rounds: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of ``k`` clusters and the rows' nearest; a block of rows at a time."""
+    centres = sample[rng.choice(len(sample), k, replace=False)].copy()
+
+    def assign() -> np.ndarray:
+        square = 0 if unit else (centres**2).sum(axis=1) / 2
+        return np.concatenate([(sample[lo : lo + 2048] @ centres.T - square).argmax(axis=1) for lo in range(0, len(sample), 2048)])
+
+    for _ in range(rounds):
+        near = assign()
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        n = np.bincount(near, minlength=k)
+        sums[n == 0] = sample[rng.choice(len(sample), int((n == 0).sum()))]
+        centres = sums / (np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) if unit else np.maximum(n, 1)[:, None])
+    return centres, assign()
+
 
+def _distances(x: np.ndarray) -> np.ndarray:
+    square = (x**2).sum(axis=1)
+    return np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 1e-9)).astype(np.float32)
 
-def fit_cells(sample: np.ndarray, n_rows: int, seed: int = 7, rounds: int = 6) -> Cells:
+
+def fit_cells(sample: np.ndarray, n_rows: int, seed: int = 7, rounds: int = 6, most_lists: int = MOST_LISTS) -> Cells:
     rng = np.random.default_rng(seed)
     d = sample.shape[1] if sample.size else 1
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0].astype(np.float32)
-    k = int(min(MOST_LISTS, max(1, n_rows // LIST_ROWS), max(1, len(sample) // 4)))
+    none = np.zeros((1, d), np.float32)
     if not len(sample):
-        return Cells(np.zeros((1, d), np.float32), np.ones(1, int), rotation, np.ones((1, 1), np.float32))
-    centres = sample[rng.choice(len(sample), k, replace=False)].copy()
-    for _ in range(rounds):
-        near = (sample @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, sample)
-        filled = np.bincount(near, minlength=k) > 0
-        sums[~filled] = sample[rng.choice(len(sample), int((~filled).sum()))]
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    near = (sample @ centres.T).argmax(axis=1)
-    rows = np.bincount(near, minlength=k) / len(sample) * n_rows
-    blocks = np.maximum(1, np.ceil(rows / BLOCK_ROWS)).astype(int)
-    gram = np.clip(centres @ centres.T, -1, 1)
-    return Cells(centres.astype(np.float32), blocks, rotation, np.sqrt(np.maximum(2 - 2 * gram, 1e-9)).astype(np.float32))
+        return Cells(none, none, np.zeros(1), np.ones(1), rotation, np.ones((1, 1), np.float32), np.ones((1, 1), np.float32))
+    lists = max(1, n_rows // LIST_ROWS)
+    k = int(min(most_lists, lists, max(1, len(sample) // 4)))
+    centres, near = _means(sample, k, rng, rounds, unit=True)
+    f = int(min(most_lists, max(1, round(lists / k)), max(1, len(sample) // 4)))
+    residuals, fine = _means(sample - centres[near], f, rng, rounds, unit=False) if f > 1 else (none, np.zeros(len(sample), int))
+    return Cells(
+        centres.astype(np.float32), residuals.astype(np.float32), np.bincount(near, minlength=k) / len(sample) * n_rows, np.bincount(fine, minlength=f) / len(sample),
+        rotation, _distances(centres), _distances(residuals),
+    )
 
 
 _ROUTED = "cell int, block int, role int, id string, vec binary"
@@ -65,23 +127,18 @@ def _route(vectors: DataFrame, cells) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = cells.value
         for pdf in batches:
-            for lo in range(0, len(pdf), 4096):
-                part = pdf.iloc[lo : lo + 4096]
-                if part.empty:
-                    continue
+            for lo in range(0, len(pdf), 1024):
+                part = pdf.iloc[lo : lo + 1024]
                 X = np.frombuffer(b"".join(part["vec"]), dtype="<f4").reshape(len(part), -1)
-                sims = X @ c.centres.T
-                own = sims.argmax(axis=1)
+                own, q, cell = c.look(X)
                 row = np.arange(len(X))
-                border = (sims[row, own][:, None] - sims) / c.border_norm[own]
-                border[row, own] = np.inf
-                q, cell = np.nonzero(border <= BORDER)
                 ids = part["id"].to_numpy()
-                at = np.array([hash_id(i) for i in ids]) % c.blocks[own]
-                more_q = np.flatnonzero(c.blocks[own] > 1)
+                n_blocks = c.blocks(own)
+                at = np.array([hash_id(i) for i in ids]) % n_blocks
+                more_q = np.flatnonzero(n_blocks > 1)
                 q = np.concatenate((q, more_q))
                 cell = np.concatenate((cell, own[more_q]))
-                reps = c.blocks[cell]
+                reps = c.blocks(cell)
                 q, cell_r = np.repeat(q, reps), np.repeat(cell, reps)
                 block = np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
                 foreign = ~((cell_r == own[q]) & (block == at[q]))
@@ -124,7 +181,7 @@ class _Block:
         """Query number, row and similarity of the best ``k`` rows of each query; ``own`` are the queries' rows here."""
         n = len(self.X)
         rows, cols, sims = [], [], []
-        step = max(1, 4_000_000 // max(n, 1))
+        step = max(1, 1_000_000 // max(n, 1))
         for lo in range(0, len(Q), step):
             q = Q[lo : lo + step]
             centred = (q - self.centre) @ self.rotation
@@ -216,10 +273,11 @@ def usable(vectors: DataFrame, id_column: str, vec_column: str, dimension: int)
     return rows.mapInPandas(unit, "id string, vec binary")
 
 
-def nearest(vectors: DataFrame, id_column: str, vec_column: str, dimension: int = 64, k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, id_column: str, vec_column: str, dimension: int = 64, k: int = 5, most_lists: int = MOST_LISTS) -> DataFrame:
     """``id, near_id, similarity``: the ``k`` most similar other vectors of each usable vector.
 
-    Cells are fitted on a bounded sample; every vector is indexed in its cell and searched for in
+    Cells are fitted on a bounded sample, in two levels where ``most_lists`` centres are too few for the
+    rows, so a cell's rows do not grow with the table; every vector is indexed in its cell and searched for in
     that cell and in those whose border is near. Large cells are spread over blocks. In a block,
     inner products are estimated from one-bit codes of the randomly rotated residuals and their
     correction scalars; only rows whose error bound reaches the k-th best lower bound are compared
@@ -231,12 +289,10 @@ def nearest(vectors: DataFrame, id_column: str, vec_column: str, dimension: int
     base = usable(vectors, id_column, vec_column, dimension)
     hashed = base.select("id", F.xxhash64("vec").alias("h1"), F.crc32("vec").alias("h2"))
     counts = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts.groupBy((F.col("n") > MOST_COPIES).alias("hot")).agg(F.sum("n").alias("rows"), F.slice(F.collect_list(F.when(F.col("n") > MOST_COPIES, F.struct("h1", "h2"))), 1, 1_000_000).alias("keys")), "copies")
-    summary = {r.hot: r.rows for r in counts.select("hot", "rows").collect()}
-    extra = None
-    n_rows = sum(summary.values())
-    if True in summary:
-        keys = counts.where("hot").select(F.explode("keys").alias("k")).select("k.h1", "k.h2")
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    extra, n_rows = None, seen.rows
+    if seen.most > MOST_COPIES:
+        keys = materialise(counts.where(F.col("n") > MOST_COPIES).select("h1", "h2"), "copied")
         salted = hashed.join(keys, ["h1", "h2"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
         few = salted.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
         few = few.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("r") <= k + 1).select("h1", "h2", "id", "r")
@@ -247,8 +303,8 @@ def nearest(vectors: DataFrame, id_column: str, vec_column: str, dimension: int
         base = base.join(others.select("id"), "id", "left_anti")
     sample = base.orderBy(F.xxhash64("id"), "id").limit(min(FIT_ROWS, max(2000, 40 * (n_rows // LIST_ROWS)))).select("vec").toPandas()
     X = np.frombuffer(b"".join(sample["vec"]), dtype="<f4").reshape(len(sample), -1) if len(sample) else np.zeros((0, dimension), np.float32)
-    cells = spark.sparkContext.broadcast(fit_cells(X, n_rows))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(cells.value.centres) // 64)
+    cells = spark.sparkContext.broadcast(fit_cells(X, n_rows, most_lists=most_lists))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(cells.value.centres) * len(cells.value.residuals) // 64)
     routed = _route(base, cells).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "role")
     found = _search(routed, cells, k)
     pairs = F.transform(F.flatten(F.collect_list(F.zip_with("near", "sims", lambda i, s: F.struct((-s).alias("d"), i.alias("i"))))), lambda x: x)

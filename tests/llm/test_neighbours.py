@@ -94,3 +94,36 @@ def test_error_bounds_hold():
 def test_seeds_and_dimension_are_checked():
     with pytest.raises(Exception):
         np.frombuffer(b"123", dtype="<f4")
+
+
+@pytest.mark.parametrize("n", [3000, 6000])
+def test_two_levels_keep_cells_small_and_recall(spark, monkeypatch, n):
+    monkeypatch.setattr(N, "LIST_ROWS", 100)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(n // 10, 64))
+    X = centres[np.arange(n) % len(centres)] + 0.2 * rng.normal(size=(n, 64))
+    rows = [(f"v{i:05d}", [float(x) for x in v]) for i, v in enumerate(X)]
+    got = {}
+    for r in N.nearest(frame(spark, rows), "id", "v", 64, 5, most_lists=4).collect():
+        got.setdefault(r.id, set()).add(r.near_id)
+    unit = (X / np.linalg.norm(X, axis=1, keepdims=True)).astype(np.float32)
+    S = unit @ unit.T
+    np.fill_diagonal(S, -2)
+    want = np.argpartition(-S, 5, axis=1)[:, :5]
+    assert len(got) == n and sum(len({f"v{j:05d}" for j in want[i]} & got[f"v{i:05d}"]) for i in range(n)) / (5 * n) > 0.9
+    cells = N.fit_cells(unit, n, most_lists=4)
+    assert len(cells.centres) == 4 and len(cells.residuals) == min(4, round(n / 400))
+
+
+def test_rows_of_a_cell_do_not_grow_with_the_table():
+    rng = np.random.default_rng(3)
+    met = []
+    for n in (10_000, 20_000):  # twice the rows have twice the fine cells beyond the limit of coarse centres
+        centres = rng.normal(size=(n // 20, 16))
+        X = centres[np.arange(n) % len(centres)] + 0.2 * rng.normal(size=(n, 16))
+        X = (X / np.linalg.norm(X, axis=1, keepdims=True)).astype(np.float32)
+        cells = N.fit_cells(X, n * 12, most_lists=20, rounds=4)
+        own, _, _ = cells.look(X)
+        met.append(float(np.mean(np.bincount(own)[own])))
+        assert len(cells.centres) == 20 and len(cells.residuals) == n // 1000
+    assert met[1] < 1.4 * met[0]
