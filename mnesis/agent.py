@@ -7,6 +7,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from mnesis.functions.text import NO_WORDS, YES_WORDS
+
 
 @dataclass
 class Turn:
@@ -103,6 +105,6 @@ def parse_boundary(reply: str) -> float:
             c = 0.5
         return c if o["boundary"] else 1 - c
     low = (reply or "").lower()
-    if re.search(r"true|yes|oui", low):
+    if re.search(YES_WORDS, low):
         return 0.6
-    return 1 - 0.6 if re.search(r"false|no\b|non\b", low) else 0.3
+    return 0.4 if re.search(NO_WORDS, low) else 0.7  # unreadable: no boundary, with little confidence

@@ -72,10 +72,10 @@ def is_media(text: Column) -> Column:
 
 # Patterns of the extractors and their confidences.
 EXTRACTORS = {
-    "EMAIL": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 0.99),
-    "HANDLE": (r"@([A-Za-z0-9_]{2,30})", 0.90),
-    "URL": (r"((?:https?://|www\.)[^\s<>\"']+)", 0.99),
-    "PHONE": (r"((?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?)", 0.80),
+    "EMAIL": (r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,})\b", 0.99),
+    "HANDLE": (r"(@[A-Za-z0-9_]{2,30})\b", 0.90),
+    "URL": (r"((?i:https?://|www\.)[^\s<>\"']+)", 0.99),
+    "PHONE": (r"((?:\+\d{1,3}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{2,4}[\s.-]?\d{2,4}(?:[\s.-]?\d{2,4})?)", 0.80),
 }
 
 
@@ -132,9 +132,27 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.greatest(ratio_udf()(a, b), token_jaccard(a, b), F.when(inside, 0.8).otherwise(0.0))
 
 
-def goal_phrases(text: Column) -> Column:
-    patterns = {"plan": r"(?i)\b(plan|prévoir|organiser|schedule)", "ask": r"\?", "decide": r"(?i)\b(decid|décid)", "remind": r"(?i)\b(remind|rappel)", "buy": r"(?i)\b(buy|acheter|payer|paid)"}
-    return F.filter(F.array(*[F.when(text.rlike(p), n) for n, p in patterns.items()]), lambda x: x.isNotNull())
+# What an artifact's type and its words say about its goal.
+GOAL_TYPES = {
+    "message": "informal communication exchange", "email": "formal written communication", "note": "personal note-taking", "document": "creating or editing a document",
+    "reunion": "meeting coordination", "decision": "making a decision", "task": "planning a task",
+}
+GOAL_WORDS = {
+    "demand|request|ask|demande|besoin": "open problem or unresolved question", "décidé|décision|validé|confirmé|ok go": "decision reached or outcome confirmed",
+    "chargé|responsable|deadline|pour lundi": "task assigned with a clear owner", "urgent|important|problème|bloqué|incroyable": "emotionally charged or high-stakes exchange",
+    "tu te souviens|comme on avait|suite à|rappel": "reactivating or referencing a past episode",
+}
+# Words of a model's reply that is no JSON.
+YES_WORDS, NO_WORDS = "true|oui|nouveau", "false|non|continue"
+
+
+def goal_phrases(text: Column, artifact_type: Column, entities: Column) -> Column:
+    """Phrases for the goal of an artifact: by its type, by the words in it, and its first four entities."""
+    types = F.create_map(*[F.lit(x) for pair in GOAL_TYPES.items() for x in pair])
+    kind = F.coalesce(F.element_at(types, artifact_type), F.lit("general activity"))
+    by_word = [F.when(text.rlike(rf"(?iU)\b({words})\b"), phrase) for words, phrase in GOAL_WORDS.items()]
+    named = F.when(F.size(entities) > 0, F.concat(F.lit("related to "), F.array_join(F.slice(entities, 1, 4), ", ")))
+    return F.filter(F.array(kind, *by_word, named), lambda x: x.isNotNull())
 
 
 def boundary_probability(reply: Column) -> Column:
@@ -142,5 +160,5 @@ def boundary_probability(reply: Column) -> Column:
     parsed = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "boundary boolean, confidence double")
     yes, conf = parsed["boundary"], F.coalesce(F.least(F.greatest(parsed["confidence"], F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
     low = F.lower(reply)
-    fallback = F.when(low.rlike(r"true|yes|oui"), 0.6).when(low.rlike(r"false|no|non"), 1 - 0.6).otherwise(0.3)
+    fallback = F.when(low.rlike(YES_WORDS), 0.6).when(low.rlike(NO_WORDS), 0.4).otherwise(0.7)
     return F.when(yes.isNull(), fallback).when(yes, conf).otherwise(1 - conf)

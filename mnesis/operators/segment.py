@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -30,67 +31,138 @@ class SegmentConfig:
     time_minutes: float = 120.0
     recent_minutes: float = 480.0
     dormancy_minutes: float = 1440.0
-    hard_break_minutes: float = 720.0
+    hard_break_minutes: float | None = None
+    reactivate: bool = True  # whether dormant episodes can take rows again
+    dual: bool = False  # compare with the founder's vector too
     ema: float = 0.80
     active_hours: float = 24.0
     novelty: float = 0.0
+    novelty_episodes: int = 15
     boundary_gate: float | None = None  # attach without scoring below this boundary probability
     boundary_k: float = 0.3
 
+    def pieces_minutes(self) -> float | None:
+        """A gap beyond which rows without entities can't reach back, so that a stream may be cut there; None if there is none."""
+        if self.boundary_gate is not None or self.novelty > 0:
+            return None
+        return min(self.recent_minutes, self.hard_break_minutes or math.inf)
+
+
+class _Vectors:
+    """One vector per episode, with its norm, in a matrix that grows."""
+
+    def __init__(self):
+        self.m, self.norm = None, None
+
+    def get(self, no: int) -> np.ndarray | None:
+        return self.m[no] if self.m is not None and no < len(self.norm) and self.norm[no] > 0 else None
+
+    def put(self, no: int, v: np.ndarray) -> None:
+        if self.m is None:
+            self.m, self.norm = np.zeros((64, len(v))), np.zeros(64)
+        while no >= len(self.norm):
+            self.m, self.norm = np.vstack((self.m, np.zeros_like(self.m))), np.concatenate((self.norm, np.zeros_like(self.norm)))
+        self.m[no], self.norm[no] = v, np.linalg.norm(v)
+
+    def similarity(self, v: np.ndarray | None, at: np.ndarray) -> np.ndarray:
+        """Cosine of ``v`` and the vectors of ``at``, 0 where there is none and below 0."""
+        out = np.zeros(len(at))
+        if v is None or self.m is None or not (n := np.linalg.norm(v)):
+            return out
+        ok = (at < len(self.norm)) & (self.norm[np.minimum(at, len(self.norm) - 1)] > 0)
+        out[ok] = self.m[at[ok]] @ v / (self.norm[at[ok]] * n)
+        return np.maximum(out, 0.0)
+
 
 class _Episodes:
-    """Open episodes of one stream. Episodes that a hard break has passed can't attract anything and are dropped."""
+    """Episodes of one stream, in the order of their start.
+
+    Candidates for a row are the episodes that ended within the recent window and all that share
+    an entity with it, however old; an index of entities finds the latter. An episode idle for
+    longer than the dormancy is dormant until a row is attached. The break is tested on the best
+    candidate only: where that one is too old the row starts an episode, even if a second-best is fresh.
+    """
 
     def __init__(self, cfg: SegmentConfig):
-        self.cfg, self.open, self.count, self.current = cfg, [], 0, None
+        self.cfg, self.ends, self.weights, self.current = cfg, [], [], None
+        self.latest: OrderedDict[int, None] = OrderedDict()  # by end
+        self.by_entity: dict[str, set[int]] = {}
+        self.centroid, self.first, self.goal = _Vectors(), _Vectors(), _Vectors()
+        self.reactivated = 0
+
+    def _candidates(self, us: int, entities: list[str]) -> np.ndarray:
+        found = set()
+        for no in reversed(self.latest):
+            if self.ends[no] < us - self.cfg.recent_minutes * 60e6:
+                break
+            found.add(no)
+        for k in entities:
+            found |= self.by_entity.get(k, set())
+        if not self.cfg.reactivate:
+            found = {n for n in found if not self._dormant(n, us)}
+        return np.array(sorted(found), dtype=np.int64)
+
+    def _dormant(self, no: int, us: int) -> bool:
+        return us - self.ends[no] > self.cfg.dormancy_minutes * 60e6
 
-    def add(self, us: int, vec: np.ndarray | None, entities: list[str], boundary: float | None) -> int:
+    def add(self, us: int, vec: np.ndarray | None, entities: list[str], boundary: float | None, goal: np.ndarray | None = None) -> int:
         cfg = self.cfg
-        horizon = us - cfg.hard_break_minutes * 60e6
-        self.open = [e for e in self.open if e["end"] >= horizon]
         gated = cfg.boundary_gate is not None
-        if gated and self.current in self.open and boundary is not None and boundary < cfg.boundary_gate:
-            return self._attach(self.current, us, vec, entities)
-        best, best_score = None, -1.0
-        own = set(entities)
-        for e in self.open:
-            gap = abs(us - e["end"]) / 60e6
-            shares = own & e["weights"].keys()
-            if gap > cfg.recent_minutes and not shares:
-                continue
-            sem = ent = 0.0
-            if vec is not None and e["centroid"] is not None:
-                sem = max(0.0, _cos(vec, e["centroid"]), _cos(vec, e["first"]))
-            if own and e["weights"]:
-                ent = sum(e["weights"][k] for k in shares) / (len(own) * max(e["weights"].values()))
-            idle_h = gap / 60
-            dormant = gap > cfg.dormancy_minutes
-            age = math.log1p(idle_h) if dormant else 0.3 * math.log1p(idle_h - cfg.active_hours) if idle_h > cfg.active_hours else 0.0
-            score = max(0.0, cfg.semantic * sem + cfg.entity * ent + cfg.temporal * math.exp(-2.3 / cfg.time_minutes * gap) - cfg.age * age)
-            if score > best_score + 1e-12:
-                best, best_score = e, score
-        need = cfg.threshold - cfg.novelty * min(len(self.open) / 15.0, 1.0)
+        if gated and self.current is not None and boundary is not None and boundary < cfg.boundary_gate:
+            return self._attach(self.current, us, vec, entities, goal)
+        need = cfg.threshold
+        if cfg.novelty > 0:
+            active = 0
+            for no in reversed(self.latest):
+                if self._dormant(no, us):
+                    break
+                active += 1
+            need -= cfg.novelty * min(active / cfg.novelty_episodes, 1.0)
         if gated:
             need += cfg.boundary_k * (1 - (boundary if boundary is not None else 1.0))
-        if best is not None and best_score >= need:
-            return self._attach(best, us, vec, entities)
-        self.count += 1
-        e = {"no": self.count, "start": us, "end": us, "centroid": vec, "first": vec, "weights": {k: 1.0 for k in entities}}
-        self.open.append(e)
-        self.current = e
-        return e["no"]
-
-    def _attach(self, e: dict, us: int, vec: np.ndarray | None, entities: list[str]) -> int:
-        if vec is not None:
-            if e["centroid"] is None:
-                e["centroid"] = e["first"] = vec
-            else:
-                e["centroid"] = (1 - self.cfg.ema) * e["centroid"] + self.cfg.ema * vec
-        e["start"], e["end"] = min(e["start"], us), max(e["end"], us)
+        at = self._candidates(us, entities)
+        if len(at):
+            gap = np.array([us - self.ends[n] for n in at]) / 60e6
+            sem = self.centroid.similarity(vec, at)
+            if cfg.dual:
+                sem = np.maximum(sem, self.first.similarity(vec, at))
+            own = set(entities)
+            ent = np.array([sum(w[k] for k in own & w.keys()) / (len(own) * max(w.values())) if own and w else 0.0 for w in (self.weights[n] for n in at)])
+            idle = np.maximum(gap / 60, 0)
+            age = np.where(gap > cfg.dormancy_minutes, np.log1p(idle), 0.3 * np.log1p(np.maximum(idle - cfg.active_hours, 0)))
+            score = cfg.semantic * sem + cfg.entity * ent + cfg.temporal * np.exp(-2.3 / cfg.time_minutes * np.abs(gap)) + cfg.goal * self.goal.similarity(goal, at) - cfg.age * age
+            score = np.maximum(score, 0.0)
+            best = int(np.flatnonzero(score >= score.max() - 1e-12)[0])  # among equals the older
+            if score[best] >= need and not (cfg.hard_break_minutes and gap[best] > cfg.hard_break_minutes):
+                return self._attach(int(at[best]), us, vec, entities, goal)
+        no = len(self.ends)
+        self.ends.append(us)
+        self.weights.append({k: 1.0 for k in entities})
+        for store, v in ((self.centroid, vec), (self.first, vec), (self.goal, goal)):
+            if v is not None:
+                store.put(no, v)
+        for k in entities:
+            self.by_entity.setdefault(k, set()).add(no)
+        self.latest[no] = None
+        self.current = no
+        return no + 1
+
+    def _attach(self, no: int, us: int, vec: np.ndarray | None, entities: list[str], goal: np.ndarray | None) -> int:
+        self.reactivated += self._dormant(no, us)
+        for store, v in ((self.centroid, vec), (self.goal, goal)):
+            if v is not None:
+                old = store.get(no)
+                store.put(no, v if old is None else (1 - self.cfg.ema) * old + self.cfg.ema * v)
+        if vec is not None and self.first.get(no) is None:
+            self.first.put(no, vec)
+        self.ends[no] = max(self.ends[no], us)
+        w = self.weights[no]
         for k in entities:
-            e["weights"][k] = e["weights"].get(k, 0.0) + 1.0
-        self.current = e
-        return e["no"]
+            w[k] = w.get(k, 0.0) + 1.0
+            self.by_entity.setdefault(k, set()).add(no)
+        self.latest.move_to_end(no)
+        self.current = no
+        return no + 1
 
 
 def _cos(a: np.ndarray, b: np.ndarray) -> float:
@@ -101,28 +173,35 @@ def _cos(a: np.ndarray, b: np.ndarray) -> float:
 def segment(rows: DataFrame, config: SegmentConfig | None = None) -> DataFrame:
     """``stream, session, id, us, episode_no``: greedy segmentation of each stream in time order.
 
-    ``rows``: ``stream, id, us, vec array<float>, entities array<string>, boundary double`` (the last
-    three may be null). A gap of more than the hard break separates a stream for good: no episode
-    before it can attract a later row. So streams are cut there first, and each piece is a key of
-    its own; pieces stream through a task in order, holding only the open episodes. Ties of the
-    score go to the older episode, equal times are ordered by id.
+    ``rows``: ``stream, id, us, vec array<float>, entities array<string>, boundary double`` and, if wanted,
+    ``goal array<float>`` (all but the first three may be null). A stream is sequential: it flows through one task
+    that holds its episodes. Only a stream without entities is cut, at gaps that no candidate
+    outlasts, and its pieces are keys of their own, numbered by ``session`` (1 for a stream left
+    whole). Ties of the score go to the older episode, equal times are ordered by id.
     """
     cfg = config or SegmentConfig()
-    x = ordered.previous(rows, "stream", "us", "id", {"_us": "us"})
-    cut = F.when(F.col("us") - F.col("_us") <= int(cfg.hard_break_minutes * 60e6), 0).otherwise(1)
-    pieces = ordered.running_sum(x, "stream", "us", "id", cut, "session")
-    in_order = pieces.select("stream", "session", "id", "us", "vec", "entities", "boundary").repartition("stream", "session").sortWithinPartitions("stream", "session", "us", "id")
+    goal = F.col("goal") if "goal" in rows.columns else F.lit(None).cast("array<double>")
+    rows = rows.withColumn("goal", goal)
+    if cfg.pieces_minutes() is None:
+        pieces = rows.withColumn("session", F.lit(1).cast("bigint"))
+    else:
+        x = ordered.previous(rows, "stream", "us", "id", {"_us": "us"})
+        named = rows.where(F.size("entities") > 0).select("stream").distinct().withColumn("_named", F.lit(True))
+        x = x.join(named, "stream", "left")
+        cut = F.when((F.col("us") - F.col("_us") <= int(cfg.pieces_minutes() * 60e6)) | (F.col("_us").isNotNull() & F.col("_named").isNotNull()), 0).otherwise(1)
+        pieces = ordered.running_sum(x, "stream", "us", "id", cut, "session")
+    in_order = pieces.select("stream", "session", "id", "us", "vec", "entities", "boundary", "goal").repartition("stream", "session").sortWithinPartitions("stream", "session", "us", "id")
     stream_type, id_type = rows.schema["stream"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
+        array = lambda v: np.asarray(v, dtype=float) if v is not None else None
         for pdf in batches:
             out = []
-            for stream, session, us, vec, entities, p in zip(pdf["stream"], pdf["session"], pdf["us"], pdf["vec"], pdf["entities"], pdf["boundary"]):
+            for stream, session, us, vec, entities, p, goal in zip(*(pdf[c] for c in ("stream", "session", "us", "vec", "entities", "boundary", "goal"))):
                 if key != (stream, session):
                     key, state = (stream, session), _Episodes(cfg)
-                v = np.asarray(vec, dtype=float) if vec is not None else None
-                out.append(state.add(int(us), v, list(entities) if entities is not None else [], None if p is None or p != p else float(p)))
+                out.append(state.add(int(us), array(vec), list(entities) if entities is not None else [], None if p is None or p != p else float(p), array(goal)))
             yield pdf[["stream", "session", "id", "us"]].assign(episode_no=np.array(out, dtype=np.int64))
 
     return in_order.mapInPandas(run, f"stream {stream_type}, session bigint, id {id_type}, us bigint, episode_no bigint")

@@ -44,7 +44,7 @@ def arrange(rows: DataFrame, config: segment.SegmentConfig | None = None, split_
     parts of a split one are named ``_S01`` and so on and share its score by their size. Members
     without a vector stay with the parent's name.
     """
-    cfg = config or segment.SegmentConfig()
+    cfg = config or segment.SegmentConfig(hard_break_minutes=720)
     cut = segment.segment(rows.select("stream", "id", "us", "vec", "entities", "boundary"), cfg)
     raw = materialise(cut.select("stream", "id", F.concat_ws("-", "stream", F.col("session").cast("string"), F.col("episode_no").cast("string")).alias("episode")), "segmented")
     m = rows.join(raw, ["stream", "id"])
@@ -104,7 +104,7 @@ def grid_search(rows: DataFrame, thresholds=(0.25, 0.3, 0.35, 0.4), minutes=(60.
     rows = materialise(rows, "grid-input")
     out = []
     for threshold, minute in product(thresholds, minutes):
-        cfg = segment.SegmentConfig(threshold=threshold, time_minutes=minute)
+        cfg = segment.SegmentConfig(threshold=threshold, time_minutes=minute, hard_break_minutes=720)
         member, _ = arrange(rows, cfg, split_span_hours=168.0)
         r = metrics.agreement(rows.join(member, ["stream", "id"]), "true_episode_id", "episode_id").collect()[0]  # one row
         out.append((threshold, minute, r.ari, r.nmi, r.n_pred, r.n_true))

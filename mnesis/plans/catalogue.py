@@ -569,7 +569,7 @@ _RET = "exp(-(0.1 / (1 + memory)) * days_old / (1 + ln(1 + coalesce(access_count
 
 
 @query(
-    f"""WITH {_STORE}, r AS (SELECT *, {_RET} AS ret FROM store) SELECT episode_id, round(ret, 6) AS retention, CASE WHEN ret IS NULL THEN status WHEN status = 'dormant' AND ret < 0.3 AND days_old > 90 THEN 'archived' WHEN status NOT IN ('dormant', 'archived') AND ret < 0.3 THEN 'dormant' ELSE status END AS new_status FROM r"""
+    f"""WITH {_STORE}, r AS (SELECT *, CASE WHEN status IN ('enriched', 'dormant') THEN {_RET} END AS ret FROM store) SELECT episode_id, round(ret, 6) AS retention, CASE WHEN status = 'dormant' AND ret < 0.3 AND days_old > 90 THEN 'archived' WHEN status = 'enriched' AND ret < 0.3 THEN 'dormant' ELSE status END AS new_status FROM r"""
 )
 def retention_decay(spark, d):
     return lifecycle.decay(store(spark, d)).select("episode_id", F.round("retention", 6).alias("retention"), "new_status")
@@ -583,24 +583,44 @@ def nightly_consolidation(spark, d):
 
 
 _OPEN = "len(list_filter([" + ", ".join(_quote(w) for w in text.OPEN_WORDS) + "], lambda w: contains(lower(coalesce(title, '')), w))) > 0"
+_STATES = f"""{_STORE}, st AS (SELECT *, CASE WHEN status = 'archived' AND days_old < 400 THEN 'CONSOLIDATED' WHEN status = 'archived' THEN 'ARCHIVED' WHEN status = 'dormant' THEN 'DORMANT' ELSE 'ACTIVE' END AS state FROM store)"""
 _ACTIONS = f"""act AS (
- SELECT episode_id, 'COMPRESS' AS action, round(least(1.0, days_old / 30.0 * (1 - 0.4 * memory)), 4) AS score FROM store WHERE status = 'dormant' AND days_old >= CASE WHEN {_OPEN} THEN 180.0 ELSE 30.0 END
- UNION ALL SELECT episode_id, 'ARCHIVE', round(least(1.0, days_old / 120.0 * (1 - 0.4 * memory)), 4) FROM store WHERE status = 'archived' AND days_old >= 120.0
- UNION ALL SELECT episode_id, 'FLAG', round(memory, 4) FROM store WHERE status <> 'archived' AND {_OPEN})"""
+ SELECT episode_id, 'COMPRESS' AS action, round(least(1.0, days_old / 30.0 * (1 - 0.4 * memory)), 4) AS score FROM st WHERE state = 'DORMANT' AND days_old >= CASE WHEN {_OPEN} THEN 180.0 ELSE 30.0 END
+ UNION ALL SELECT episode_id, 'ARCHIVE', round(least(1.0, days_old / 120.0 * (1 - 0.4 * memory)), 4) FROM st WHERE state = 'CONSOLIDATED' AND days_old >= 120.0
+ UNION ALL SELECT episode_id, 'FLAG', round(memory, 4) FROM st WHERE state IN ('ACTIVE', 'DORMANT') AND {_OPEN}
+ UNION ALL SELECT episode_id, 'SURFACE', round(sim * memory, 4) FROM (SELECT st.*, list_cosine_similarity(centroid, v) AS sim FROM st, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)) WHERE state IN ('ACTIVE', 'DORMANT') AND sim >= 0.72 AND memory >= 0.35)"""
 
 
-@query(f"WITH {_STORE}, {_ACTIONS} SELECT * FROM act")
+def _states(spark, d):
+    """Episodes with a state. The store has no consolidated ones: those archived in the last 400 days stand for them."""
+    e = store(spark, d)
+    archived = F.col("status") == "archived"
+    state = F.when(archived & (F.col("days_old") < 400), "CONSOLIDATED").when(archived, "ARCHIVED").when(F.col("status") == "dormant", "DORMANT").otherwise("ACTIVE")
+    new = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("query_vec"))
+    return e.withColumn("state", state).crossJoin(F.broadcast(new))  # one row
+
+
+@query(f"WITH {_STATES}, {_ACTIONS} SELECT * FROM act")
 def decision_actions(spark, d):
-    return lifecycle.decisions(store(spark, d))
+    return lifecycle.decisions(_states(spark, d), query_vec=F.col("query_vec"))
+
+
+@query(
+    f"""WITH {_STATES}, {_ACTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY score DESC, episode_id) AS rank FROM act)
+SELECT action, count(*) AS n, string_agg(episode_id, ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS first FROM r GROUP BY action"""
+)
+def decision_report(spark, d):
+    return lifecycle.action_report(lifecycle.decisions(_states(spark, d), query_vec=F.col("query_vec")))
 
 
 @query(
-    f"""WITH {_STORE}, {_ACTIONS}, h AS (SELECT episode_id, bool_or(action = 'ARCHIVE') AS arch FROM act WHERE action IN ('COMPRESS', 'ARCHIVE') GROUP BY episode_id)
-SELECT episode_id, CASE WHEN arch THEN 'archived' ELSE status END AS status, round(memory * CASE WHEN arch THEN 0.5 WHEN NOT arch THEN 0.85 ELSE 1.0 END, 6) AS memory FROM store LEFT JOIN h USING (episode_id)"""
+    f"""WITH {_STATES}, {_ACTIONS}, h AS (SELECT episode_id, bool_or(action = 'ARCHIVE') AS arch FROM act WHERE action IN ('COMPRESS', 'ARCHIVE') GROUP BY episode_id)
+SELECT episode_id, CASE WHEN arch THEN 'ARCHIVED' WHEN NOT arch THEN 'CONSOLIDATED' ELSE state END AS state, CASE WHEN arch THEN round(memory * 0.5, 6) WHEN NOT arch THEN round(memory * 0.85, 6) ELSE memory END AS memory, centroid IS NOT NULL AND arch IS NULL AS has_vector FROM st LEFT JOIN h USING (episode_id)"""
 )
 def applied_actions(spark, d):
-    e = store(spark, d)
-    return lifecycle.apply_actions(e, lifecycle.decisions(e)).select("episode_id", "status", F.round("memory", 6).alias("memory"))
+    e = _states(spark, d)
+    done = lifecycle.apply_actions(e, lifecycle.decisions(e), digits=6)
+    return done.select("episode_id", "state", "memory", F.col("centroid").isNotNull().alias("has_vector"))
 
 
 @query(
@@ -708,17 +728,17 @@ def _segment_input(spark, d):
 
 @query()
 def greedy_segment(spark, d):
-    return segment.segment(_segment_input(spark, d))
+    return segment.segment(_segment_input(spark, d), segment.SegmentConfig(hard_break_minutes=720))
 
 
 @query()
 def hybrid_segment(spark, d):
     x = features.previous_gap(_segment_input(spark, d).drop("boundary"), "stream", "us", "id")
-    return segment.segment(x.withColumn("boundary", F.least("gap_log", F.lit(1.0))), segment.SegmentConfig(boundary_gate=0.5))
+    return segment.segment(x.withColumn("boundary", F.least("gap_log", F.lit(1.0))), segment.SegmentConfig(boundary_gate=0.5, hard_break_minutes=720))
 
 
 def _segmented(spark, d):
-    s = segment.segment(_segment_input(spark, d)).select("stream", "id", F.concat_ws("-", "session", "episode_no").alias("episode"))
+    s = segment.segment(_segment_input(spark, d), segment.SegmentConfig(hard_break_minutes=720)).select("stream", "id", F.concat_ws("-", "session", "episode_no").alias("episode"))
     return _segment_input(spark, d).join(s, ["stream", "id"])
 
 

@@ -37,10 +37,10 @@ def mark_failed(episodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def touch(episodes: DataFrame, returned: DataFrame, now_us: int) -> DataFrame:
-    """Side effect of a search as a job of its own: counts a recall of every returned episode."""
+    """Side effect of a search as a job of its own: counts a recall of every returned episode; the others keep their values."""
     hit = returned.select("episode_id", F.lit(1).alias("_hit")).distinct()
     x = episodes.join(hit, "episode_id", "left")
-    return x.withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("_hit", F.lit(0))).withColumn("last_accessed_us", F.when(F.col("_hit") == 1, now_us).otherwise(F.lit(None))).drop("_hit")
+    return x.withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("_hit", F.lit(0))).withColumn("last_accessed_us", F.when(F.col("_hit") == 1, F.lit(now_us)).otherwise(F.col("last_accessed_us") if "last_accessed_us" in episodes.columns else F.lit(None))).drop("_hit")
 
 
 def save_csv(artifacts: DataFrame, path: str) -> None:

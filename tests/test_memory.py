@@ -121,9 +121,16 @@ def test_recall_answers_more_queries_than_a_block(spark, monkeypatch):
 def test_lifecycle(spark):
     rows = [("a", "raw", 200.0, 0.0, 0, "x"), ("b", "dormant", 200.0, 0.0, 0, "todo list"), ("c", "raw", None, 0.0, None, None)]
     e = spark.createDataFrame(rows, "episode_id string, status string, days_old double, salience double, access_count int, title string").withColumn("memory", F.col("salience"))
-    assert {r.episode_id: r.new_status for r in lifecycle.decay(e).collect()} == {"a": "dormant", "b": "archived", "c": "raw"}
-    acts = {(r.episode_id, r.action) for r in lifecycle.decisions(e).collect()}
-    assert acts == {("b", "COMPRESS"), ("b", "FLAG")}
+    assert {r.episode_id: r.new_status for r in lifecycle.decay(e).collect()} == {"a": "raw", "b": "archived", "c": "raw"}
+    states = [("a", "ACTIVE", 200.0, 0.5, "projet"), ("b", "DORMANT", 200.0, 0.5, "todo list"), ("c", "CONSOLIDATED", 119.9, 0.5, None), ("d", "CONSOLIDATED", 120.0, 0.5, "x"), ("e", "ARCHIVED", 900.0, 0.5, "todo"), ("f", "DORMANT", None, None, None), ("g", "DORMANT", 29.0, 0.5, "x")]
+    e = spark.createDataFrame([(*x, [1.0, 0.0]) for x in states], "episode_id string, state string, days_old double, memory double, title string, centroid array<double>")
+    actions = lifecycle.decisions(e)
+    done = {r.episode_id: (r.state, r.memory, r.centroid) for r in lifecycle.apply_actions(e, actions).collect()}
+    assert done["b"] == ("CONSOLIDATED", 0.425, None) and done["d"] == ("ARCHIVED", 0.25, None) and done["a"] == ("ACTIVE", 0.5, [1.0, 0.0]) and done["c"][0] == "CONSOLIDATED"
+    acts = {(r.episode_id, r.action) for r in actions.collect()}
+    assert acts == {("a", "FLAG"), ("b", "COMPRESS"), ("b", "FLAG"), ("d", "ARCHIVE")}
+    surfaced = lifecycle.decisions(e, query_vec=F.array(F.lit(1.0), F.lit(0.1))).where("action = 'SURFACE'")
+    assert {r.episode_id for r in surfaced.collect()} == {"a", "b", "g"}
 
 
 def seq(spark, rows):
@@ -144,7 +151,64 @@ def test_segmentation_resumes_interrupted_topics(spark):
     rows = [("s", "1", 0, [1.0, 0.0], ["x"], None), ("s", "2", 1 * m, [0.0, 1.0], ["y"], None), ("s", "3", 100 * m, [1.0, 0.0], ["x"], None), ("s", "4", 2000 * m, [1.0, 0.0], None, None)]
     cfg = segment.SegmentConfig(threshold=0.5)
     got = {r.id: (r.session, r.episode_no) for r in segment.segment(seq(spark, rows), cfg).collect()}
-    assert got["1"] == got["3"] != got["2"] and got["4"][0] == 2
+    assert got["1"] == got["3"] != got["2"] and got["4"] == (1, 3)
+
+
+def test_break_holds_for_the_best_candidate_only(spark):
+    m = 60_000_000
+    rows = [("s", "1", 0, [1.0, 0.1], ["x"], None), ("s", "2", 660 * m, [0.0, 1.0], ["y"], None), ("s", "3", 790 * m, [1.0, 0.2], ["x"], None)]
+    at = lambda b: {r.id: r.episode_no for r in segment.segment(seq(spark, rows), segment.SegmentConfig(hard_break_minutes=b)).collect()}
+    assert at(720) == {"1": 1, "2": 2, "3": 3} and at(None) == {"1": 1, "2": 2, "3": 1}
+
+
+def plain_segmentation(rows, cfg):
+    """The rules word for word: all episodes looked at for every row."""
+    episodes, out = [], {}
+    cos = lambda a, b: max(0.0, float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))) if a is not None and b is not None and np.any(a) and np.any(b) else 0.0
+    for _, key, us, vec, names, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        names = names or []
+        for e in episodes:
+            if e["state"] == "ACTIVE" and us - e["end"] > cfg.dormancy_minutes * 60e6:
+                e["state"] = "DORMANT"
+        best, best_score = None, -1.0
+        for e in episodes:
+            if e["state"] == "DORMANT" and not cfg.reactivate or not (e["end"] >= us - cfg.recent_minutes * 60e6 or set(names) & set(e["w"])):
+                continue
+            gap, hours = abs(us - e["end"]) / 60e6, max(0, us - e["end"]) / 3.6e9
+            ent = sum(e["w"][k] for k in set(names) & set(e["w"])) / (len(set(names)) * max(e["w"].values())) if set(names) & set(e["w"]) else 0.0
+            age = math.log1p(hours) if e["state"] == "DORMANT" else 0.3 * math.log1p(hours - cfg.active_hours) if hours > cfg.active_hours else 0.0
+            score = max(0.0, cfg.semantic * cos(vec, e["c"]) + cfg.entity * ent + cfg.temporal * math.exp(-2.3 / cfg.time_minutes * gap) - cfg.age * age)
+            if score > best_score + 1e-12:
+                best, best_score = e, score
+        if best is not None and cfg.hard_break_minutes and us - best["end"] > cfg.hard_break_minutes * 60e6:
+            best = None
+        active = sum(e["state"] == "ACTIVE" for e in episodes)
+        if best is not None and best_score >= cfg.threshold - cfg.novelty * min(active / cfg.novelty_episodes, 1.0):
+            if vec is not None:
+                best["c"] = np.array(vec) if best["c"] is None else (1 - cfg.ema) * best["c"] + cfg.ema * np.array(vec)
+            best["end"], best["state"] = max(best["end"], us), "ACTIVE"
+            for k in names:
+                best["w"][k] = best["w"].get(k, 0) + 1.0
+        else:
+            best = {"no": len(episodes) + 1, "end": us, "c": np.array(vec) if vec is not None else None, "w": {k: 1.0 for k in names}, "state": "ACTIVE"}
+            episodes.append(best)
+        out[key] = best["no"]
+    return out
+
+
+@pytest.mark.parametrize("change", [{}, {"hard_break_minutes": 720}, {"hard_break_minutes": 300, "reactivate": False}, {"novelty": 0.1, "dormancy_minutes": 600}, {"threshold": 0.55, "recent_minutes": 100}])
+def test_segmentation_agrees_with_the_plain_rules(spark, change):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, t in enumerate(np.cumsum(rng.exponential(90, 250))):
+        names = [str(x) for x in rng.choice(list("abcdefgh"), rng.integers(0, 3))]
+        vec = [float(x) for x in rng.normal(size=4)] if i % 9 else None
+        rows.append(("s", f"m{i:03d}", int(t * 60e6) // 7 * 7, vec, names if i % 5 else None, None))
+    cfg = segment.SegmentConfig(**change)
+    assert {r.id: r.episode_no for r in segment.segment(seq(spark, rows), cfg).collect()} == plain_segmentation(rows, cfg)
+    bare = [(*r[:4], None, None) for r in rows]  # without entities streams may be cut
+    got, want = {r.id: (r.session, r.episode_no) for r in segment.segment(seq(spark, bare), cfg).collect()}, plain_segmentation(bare, cfg)
+    assert len({(got[k], want[k]) for k in want}) == len(set(got.values())) == len(set(want.values()))
 
 
 def test_merge_split_and_reassign(spark):

@@ -24,9 +24,9 @@ def test_build_consolidates_and_splits(spark, tmp_path):
     csv = tmp_path / "d.csv"
     row = lambda i, t, c, e: f'A{i},{t},"{c}","{e}",'
     rows = [row(i, f"2026-02-01 08:{i:02d}", "budget meeting grant", "grant, office") for i in range(4)] + [row(10 + i, f"2026-02-03 08:{i:02d}", "budget meeting grant", "grant, office") for i in range(3)]
-    rows += [row(20 + i, f"2026-02-20 08:{i:02d}", ("budget meeting grant", "school trip children", "clinic doctor nurse", "garden flowers rain")[i % 4], "grant, office") for i in range(12)]
+    rows += [row(20 + i, f"2026-02-20 08:{i:02d}", ("budget meeting grant", "school trip children", "clinic doctor nurse", "garden flowers rain")[i % 4], "house, street") for i in range(12)]
     csv.write_text("artifact_id,timestamp,content,entities,true_episode_id\n" + "\n".join(rows) + "\n")
-    tables = build(spark, [str(csv)], config=SegmentConfig(threshold=0.0))
+    tables = build(spark, [str(csv)], config=SegmentConfig(threshold=0.0, hard_break_minutes=720))
     eps = {r.episode_id: r for r in tables["episodes"].collect()}
     of = {r.id: r.episode_id for r in tables["membership"].collect()}
     assert len(of) == 19 and len({of[f"A{i}"] for i in (0, 1, 2, 3, 10, 11, 12)}) == 1
@@ -50,4 +50,4 @@ def test_reply_parsers():
     assert agent.parse_entities("nothing") == [] and agent.parse_entities(None) == []
     assert agent.parse_entities_of_many(json.dumps({"MSG1": {"entities": [{"text": "X"}]}}))["MSG1"][0]["type"] == "UNKNOWN"
     assert agent.parse_summary('{"label": "a", "summary": "b"}')["mood"] == "neutral"
-    assert agent.parse_boundary('{"boundary": false, "confidence": 0.9}') == 1 - 0.9 and agent.parse_boundary("oui") == 0.6 and agent.parse_boundary("?") == 0.3
+    assert agent.parse_boundary('{"boundary": false, "confidence": 0.9}') == 1 - 0.9 and agent.parse_boundary("oui") == 0.6 and agent.parse_boundary("?") == 0.7 and agent.parse_boundary("un nouveau sujet") == 0.6
