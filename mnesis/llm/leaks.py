@@ -154,48 +154,55 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     together, while phrases that share their wording but report other facts fall apart at each fact.
     """
     n, m = len(doc), len(item)
-    best, prev = (0, 0, 0), np.zeros(m + 1)
-    move = np.zeros((n + 1, m + 1), dtype=np.int8)
-    for i in range(1, n + 1):
-        diagonal = prev[:-1] + np.where(item == doc[i - 1], 1.0, -COST)
-        up = prev[1:] - COST
-        now = np.maximum(np.maximum(diagonal, up), 0.0)
+    score = np.zeros((n + 1, m + 1))
+    gain = np.where(doc[:, None] == item[None, :], 1.0, -COST)
+    ramp = COST * np.arange(m + 1)
+    for i in range(n):
+        row = score[i + 1]
+        np.add(score[i, :-1], gain[i], out=row[1:])
+        np.maximum(row[1:], score[i, 1:] - COST, out=row[1:])
+        np.maximum(row, 0, out=row)
         # lost item words: a running maximum along the row
-        ramp = COST * np.arange(1, m + 1)
-        left = np.maximum.accumulate(now + ramp) - ramp
-        shifted = np.concatenate(([0.0], left[:-1])) - COST
-        final = np.maximum(now, shifted)
-        move[i, 1:] = np.where(final <= 0, 0, np.where(final == diagonal, 1, np.where(final == up, 2, 3)))
-        prev = np.concatenate(([0.0], final))
-        j = int(final.argmax()) + 1
-        if final[j - 1] > best[0]:
-            best = (float(final[j - 1]), i, j)
-    score, i, j = best
-    if score <= 0:
+        row += ramp
+        np.maximum.accumulate(row, out=row)
+        row -= ramp
+    i, j = divmod(int(score.argmax()), m + 1)
+    if score[i, j] <= 0:
         return 0, -1, 0, 0
     last, matches = j - 1, 0
-    while i > 0 and j > 0 and move[i, j]:
-        if move[i, j] == 1:
-            matches += int(doc[i - 1] == item[j - 1])
+    while score[i, j] > 0:
+        if score[i, j] == score[i - 1, j - 1] + gain[i - 1, j - 1]:
+            matches += int(gain[i - 1, j - 1] > 0)
             i, j = i - 1, j - 1
-        elif move[i, j] == 2:
+        elif score[i, j] == score[i - 1, j] - COST:
             i -= 1
         else:
             j -= 1
     return j, last, matches, last - j + 1 - matches
 
 
-def _mended(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    """Ids of words; one that a slip of the keyboard changed stands for the only test word one letter from it."""
+@lru_cache(maxsize=4096)
+def _passage(text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int], dict[str, set[str]], int]:
+    """Token ids of a passage, the written word of each, ids by token, tokens by what lacks one letter, words needed."""
+    written = [own for w in text.split() if (own := tokens(w))]
+    item = [t for own in written for t in own]
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(item), 1)}
     near: dict[str, set[str]] = {}
     for t in vocabulary:
         if len(t) >= 4 and not t.isdigit():
             for k in range(len(t)):
                 near.setdefault(t[:k] + t[k + 1 :], set()).add(t)
-    ids = np.zeros(len(words), dtype=np.int64)
-    for k, t in enumerate(words):
-        ids[k] = vocabulary.get(t, 0)
-        if not ids[k] and len(t) >= 4 and not t.isdigit():
+    word_of = np.repeat(np.arange(len(written)), [len(own) for own in written])
+    need = max(LEAST_WORDS, int(np.ceil(len(written) * LEAST_SHARE)))
+    return np.array([vocabulary[t] for t in item], dtype=np.int64), word_of, vocabulary, near, need
+
+
+def _mended(words: list[str], vocabulary: dict[str, int], near: dict[str, set[str]]) -> np.ndarray:
+    """Ids of words; one that a slip of the keyboard changed stands for the only test word one letter from it."""
+    ids = np.fromiter((vocabulary.get(t, 0) for t in words), dtype=np.int64, count=len(words))
+    for k in np.flatnonzero(ids == 0):
+        t = words[k]
+        if len(t) >= 4 and not t.isdigit():
             cuts = [t[:c] + t[c + 1 :] for c in range(len(t))]
             options = set(near.get(t, ())).union(*(near.get(c, ()) for c in cuts), (c for c in cuts if c in vocabulary))
             if len(options) == 1:
@@ -205,20 +212,15 @@ def _mended(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
 
 def verified(words: list[str], spans: list[tuple[int, int]], passage: str) -> tuple[int, float] | None:
     """Words covered and share of equal words of the best stretch around the hits, if it is long and alike enough."""
-    written = [own for w in passage.split() if (own := tokens(w))]
-    item = [t for own in written for t in own]
-    word_of = np.repeat(np.arange(len(written)), [len(own) for own in written])
-    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(item), 1)}
-    own = np.array([vocabulary[t] for t in item], dtype=np.int64)
-    need = max(LEAST_WORDS, int(np.ceil(len(written) * LEAST_SHARE)))
+    own, word_of, vocabulary, near, need = _passage(passage)
     best, parts = None, []
     for lo, hi in sorted(spans):  # far-apart parts are aligned each for itself
-        if parts and lo - parts[-1][1] <= len(item) + 40:
+        if parts and lo - parts[-1][1] <= len(own) + 40:
             parts[-1][1] = max(parts[-1][1], hi)
         else:
             parts.append([lo, hi])
     for lo, hi in parts:
-        a, b, matches, _ = align(_mended(words[max(0, lo - 30) : hi + 40], vocabulary), own)
+        a, b, matches, _ = align(_mended(words[max(0, lo - 30) : hi + 40], vocabulary, near), own)
         if b >= a:
             span, share = len(np.unique(word_of[a : b + 1])), matches / (b - a + 1)
             if span >= need and share >= LEAST_EQUAL and (best is None or (span, share) > best):
