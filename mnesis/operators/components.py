@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from mnesis.shared import materialise
 
 
-def connected_components(links: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node, component``: the smallest node that each node of ``links`` is linked to.
 
     Smallest-label propagation with pointer jumping: a round takes over the smallest label of all
-    neighbours and then that label's own label, so chains close in a logarithmic number of rounds.
+    neighbours and then that label's own label, so chains close in a logarithmic number of rounds;
+    rounds go on until no label changes, which must come, as labels only ever fall.
     Both steps are aggregates and equi-joins; each round is written to the shared folder, which
     cuts the lineage. Links with a null end are ignored; loops and repeated links do no harm.
     """
@@ -20,7 +21,7 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ma
     clean = links.where(a.isNotNull() & b.isNotNull()).select(a.alias("x"), b.alias("y"))
     edges = materialise(clean.unionByName(clean.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
     labels = materialise(edges.groupBy("x").agg(F.min(F.least("x", "y")).alias("label")).withColumnRenamed("x", "node"), "labels")
-    for _ in range(max_rounds):
+    while True:
         offered = (
             edges.join(labels, edges["y"] == labels["node"]).select(F.col("x").alias("node"), "label")
             .unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
@@ -32,5 +33,4 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ma
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
