@@ -301,7 +301,14 @@ def nearest(vectors: DataFrame, id_column: str, vec_column: str, dimension: int
         others = salted.select("id", "h1", "h2").join(few.select("id"), "id", "left_anti").join(heads, ["h1", "h2"])
         extra = others.select("id", F.explode(F.slice("heads", 1, k)).alias("near_id"), F.lit(1.0).alias("similarity"))
         base = base.join(others.select("id"), "id", "left_anti")
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(min(FIT_ROWS, max(2000, 40 * (n_rows // LIST_ROWS)))).select("vec").toPandas()
+    # The rows with the smallest hashes. What passes the bound is little more than the sample, so that not every
+    # partition sends that many rows to the driver.
+    want = min(FIT_ROWS, max(2000, 40 * (n_rows // LIST_ROWS)))
+    share = min(1.0, (1.2 * want + 500) / max(n_rows, 1))
+    low = F.lit(min(int(2**64 * share) - 2**63, 2**63 - 1))
+    # without hot copies the bound applies before vectors are scaled
+    drawn = base if extra is not None else usable(vectors.where(F.xxhash64(F.col(id_column).cast("string")) <= low), id_column, vec_column, dimension)
+    sample = drawn.where(F.xxhash64("id") <= low).orderBy(F.xxhash64("id"), "id").limit(want).select("vec").toPandas()
     X = np.frombuffer(b"".join(sample["vec"]), dtype="<f4").reshape(len(sample), -1) if len(sample) else np.zeros((0, dimension), np.float32)
     cells = spark.sparkContext.broadcast(fit_cells(X, n_rows, most_lists=most_lists))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(cells.value.centres) * len(cells.value.residuals) // 64)
