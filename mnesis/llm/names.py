@@ -18,9 +18,6 @@ from mnesis.shared import materialise, parallelism
 
 #: Least share of q-grams that two tokens must have in common to be compared letter by letter.
 TOKEN_SIMILARITY = 0.33
-#: A token, a pair of tokens or a token with an initial identifies when this many different names hold it at most.
-#: It bounds no list: three tokens together, and any spelling of a whole written name, identify however many hold them.
-FEW = 8
 LEAST_SCORE = 0.72
 #: Letters of the longest acronym looked up; organisations of more words have none.
 MOST_INITIALS = 12
@@ -82,9 +79,11 @@ def token_similarity(a: str, b: str) -> float:
         return 0.8 if a[0] == b[0] else 0.0
     shorter, longer = sorted((a, b), key=len)
     if len(shorter) >= 3:
-        d = slips(a, b)
-        if d <= (1 if len(shorter) < 6 else 2 if len(shorter) < 9 else 3):
-            return 1 - d / len(longer) * 0.9
+        most, x, y = 1 if len(shorter) < 6 else 2 if len(shorter) < 9 else 3, set(a), set(b)
+        if len(x - y) <= most and len(y - x) <= most:  # each letter that only one has takes a slip
+            d = slips(a, b, most)
+            if d <= most:
+                return 1 - d / len(longer) * 0.9
     it = iter(longer)
     if shorter[0] == longer[0] and len(longer) - len(shorter) >= 2 and all(c in it for c in shorter):
         return ABBREVIATION  # letters left out, the first kept
@@ -98,7 +97,6 @@ _similarity = lru_cache(maxsize=1 << 18)(token_similarity)
 class Token:
     text: str
     weight: float
-    few: bool = True  # few names hold it
     given: bool = False  # leads several names: it can't carry a name alone
     full: tuple[str, ...] = ()  # what the token is a learned short form of
 
@@ -113,27 +111,30 @@ def soft_score(mention: list[Token], name: list[Token]) -> float:
 
     Tokens are paired best first. What both leave unpaired contradicts (another given name);
     tokens that only the fuller form has cost a part of their weight; rare tokens weigh most. Names
-    of the same tokens score 1. Any other pair needs a token in common that is no given name, and
-    one that few names hold or else a partner for every token of both; abbreviations don't count.
+    of the same tokens score 1. Any other pair needs a token in common that is no given name, however
+    many names hold it; abbreviations don't count.
     """
     if sorted(t.text for t in mention) == sorted(t.text for t in name):
         return 1.0
-    pairs = sorted(((a.like(b) * (1 + 0.001 * (a.weight + b.weight)), i, j) for i, a in enumerate(mention) for j, b in enumerate(name)), reverse=True)
-    left, right, got, common, rare = set(range(len(mention))), set(range(len(name))), 0.0, False, False
+    like = [[a.like(b) for b in name] for a in mention]
+    if any(len(a.text) > 1 and not any(row) for a, row in zip(mention, like)) and any(len(b.text) > 1 and not any(column) for b, column in zip(name, zip(*like))):
+        return 0.0  # both have a token without a partner
+    pairs = sorted(((like[i][j] * (1 + 0.001 * (a.weight + b.weight)), i, j) for i, a in enumerate(mention) for j, b in enumerate(name)), reverse=True)
+    left, right, got, common = set(range(len(mention))), set(range(len(name))), 0.0, False
     for s, i, j in pairs:
         if s <= 0:
             break
         if i in left and j in right:
             left.discard(i)
             right.discard(j)
-            s = mention[i].like(name[j])
-            got += s * (max(mention[i].weight, name[j].weight) if s == 1.0 else name[j].weight)
+            s = like[i][j]
+            got += s * name[j].weight
             close = s >= 0.7 and s != ABBREVIATION
             if close and len(mention[i].text) > 1 and len(name[j].text) > 1 and not name[j].given:
-                common, rare = True, rare or name[j].few
+                common = True
     full_left = [i for i in left if len(mention[i].text) > 1]
     full_right = [j for j in right if len(name[j].text) > 1]
-    if not (rare or common and len(name) > 1 and not left and not right) or left and full_right or full_left and right:
+    if not common or left and full_right or full_left and right:
         return 0.0
     spare = sum(mention[i].weight for i in full_left) * 0.6 + sum(name[j].weight for j in full_right) * 0.25
     matched = sum(t.weight for j, t in enumerate(name) if j not in right)
@@ -228,64 +229,30 @@ def learn_short_forms(forms: DataFrame, written: DataFrame, given: DataFrame) ->
     return pairs.where(F.col("n") >= LEAST_SHARE * F.col("all")).select(F.col("x").alias("l"), "r")
 
 
-def _joined(*parts: "F.Column") -> "F.Column":
-    return F.array_join(F.array_sort(F.array(*parts)), " ")
-
-
-def _pairs(tokens: str, where=lambda a, b: F.lit(True)) -> "F.Column":
-    """Keys of every two tokens of an array of structs ``at, token, few``, sorted; and of a token with another's initial."""
-    t = F.col(tokens)
-    other = lambda f: F.flatten(F.transform(t, lambda a: F.transform(F.filter(t, lambda b: f(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    full = lambda x: F.length(x["token"]) > 1
-    pairs = F.transform(F.filter(other(lambda a, b: a["at"] < b["at"]), lambda p: full(p["a"]) & full(p["b"]) & ~p["a"]["few"] & ~p["b"]["few"]), lambda p: _joined(p["a"]["token"], p["b"]["token"]))
-    initials = F.transform(F.filter(other(lambda a, b: a["at"] != b["at"]), lambda p: full(p["a"]) & ~p["a"]["few"]), lambda p: F.concat(p["a"]["token"], F.lit(" *"), F.substring(p["b"]["token"], 1, 1)))
-    return F.array_distinct(F.concat(pairs, initials))
-
-
-def _triples(tokens: str) -> "F.Column":
-    """Keys of every two common tokens with a third, or with its initial."""
-    t = F.filter(tokens, lambda x: ~x["few"] | (F.length(x["token"]) == 1))
-    full = lambda x: F.length(x["token"]) > 1
-    two = F.flatten(F.transform(t, lambda a: F.transform(F.filter(t, lambda b: (a["at"] < b["at"]) & full(a) & full(b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    three = lambda p: F.flatten(F.transform(F.filter(t, lambda c: (c["at"] != p["a"]["at"]) & (c["at"] != p["b"]["at"])), lambda c: F.concat(
-        F.when(full(c), F.array(_joined(p["a"]["token"], p["b"]["token"], c["token"]))).otherwise(F.array().cast("array<string>")),
-        F.array(F.concat(_joined(p["a"]["token"], p["b"]["token"]), F.lit(" *"), F.substring(c["token"], 1, 1))))))
-    return F.array_distinct(F.flatten(F.transform(two, three)))
-
-
-def _keys(rows: DataFrame, owner: str) -> DataFrame:
-    """``owner, key, level``: what may identify the owner. ``rows``: ``owner, tokens`` as ``_pairs`` takes them."""
-    singles = F.transform(F.filter("tokens", lambda x: F.length(x["token"]) > 1), lambda x: x["token"])
-    of = lambda keys, level: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(level).alias("level")))
-    every = F.concat(of(F.array_distinct(singles), 1), of(_pairs("tokens"), 2), of(_triples("tokens"), 3))
-    return rows.select(owner, F.explode(every).alias("k")).select(owner, "k.key", "k.level")
+def _index(names: DataFrame) -> DataFrame:
+    """``key, holder``: every token of more than a letter in the names of the holder, and its whole written names.
 
+    ``soft_score`` asks for a token in common, or for the same tokens; no key is left out, however many
+    holders share it. Given names can't carry a name, but lead to one whose family name is badly misspelt.
+    """
+    words = names.select("holder", F.explode(F.split("form", " ")).alias("key")).where(F.length("key") > 1).select("key", "holder")
+    whole = names.where("written").select(_sorted("form").alias("key"), "holder")
+    return words.unionByName(whole).distinct()
 
-def _index(names: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``key, holder``: tokens, pairs and triples of tokens that identify a holder.
 
-    A key that more than ``FEW`` holders share is of use only together with one more token; the
-    longest keys, and keys that are a whole written name, are kept however many share them.
-    """
-    words = names.select("holder", F.explode(F.split("form", " ")).alias("token")).distinct().join(frequency.select("token", "few"), "token")
-    numbered = words.groupBy("holder").agg(F.array_sort(F.collect_list(F.struct("token", "few"))).alias("t"))
-    tokens = F.transform("t", lambda x, i: F.struct(i.alias("at"), x["token"].alias("token"), x["few"].alias("few")))
-    keys = materialise(_keys(numbered.select("holder", tokens.alias("tokens")), "holder"), "name-keys")
-    shared = keys.where("level < 3").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
-    some = keys.join(shared, "key", "left_anti")
-    whole = names.where("written").select(F.array_join(F.array_sort(F.split("form", " ")), " ").alias("key"), "holder").distinct()
-    return some.select("key", "holder").unionByName(whole).distinct()
+def _sorted(form: str) -> "F.Column":
+    return F.array_join(F.array_sort(F.split(form, " ")), " ")
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
     """``form, holder, score`` above the least score; ``pairs`` has the written tokens of both."""
 
-    def read(written: str) -> list[Token]:  # "token:frequency:few:given:full,full ..."
+    def read(written: str) -> list[Token]:  # "token:frequency:given:full,full ..."
         out = []
         for part in written.split(" "):
-            text, df, few, given, full = part.split(":")
+            text, df, given, full = part.split(":")
             weight = math.log(1 + _SCALE / int(df)) if len(text) > 1 else 0.5
-            out.append(Token(text, weight, few == "1", given == "1", tuple(full.split(",")) if full else ()))
+            out.append(Token(text, weight, given == "1", tuple(full.split(",")) if full else ()))
         return out
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,12 +272,12 @@ def _judged(pairs: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame, by: list[str], name: str, short: DataFrame | None = None) -> DataFrame:
-    """The tokens of each group in order, as ``token:frequency:few:given:short form of``. ``df``: ``by, at, token, df, few, given``."""
+    """The tokens of each group in order, as ``token:frequency:given:short form of``. ``df``: ``by, at, token, df, given``."""
     full = F.lit("")
     if short is not None:
         df = df.join(short.groupBy(F.col("l").alias("token")).agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("full")), "token", "left")
         full = F.coalesce("full", F.lit(""))
-    one = F.concat_ws(":", "token", F.coalesce("df", F.lit(1)), F.coalesce("few", F.lit(True)).cast("int"), F.coalesce("given", F.lit(False)).cast("int"), full)
+    one = F.concat_ws(":", "token", F.coalesce("df", F.lit(1)), F.coalesce("given", F.lit(False)).cast("int"), full)
     ordered = F.array_sort(F.collect_list(F.struct("at", one.alias("w"))))
     return df.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias(name))
 
@@ -319,12 +286,11 @@ def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """``mention_id, entity_id, score``: one row per mention of a person or organisation that ``entities`` holds.
 
     Distinct spellings of mentions and the names of ``entities`` themselves are judged in one pass
-    against the entities that hold a similar identifying token, pair or triple of tokens. Entries
-    of ``entities`` that stand for the same one share the smallest id. A spelling that fits several
-    entities equally (a surname that relatives share) goes to the one with the most unambiguous
-    mentions, among equals to the smallest id. One or two tokens that more than ``FEW`` names hold
-    identify none of them, unless they are a whole name. Null and blank spellings, links, handles
-    and unknown names yield no row; types are not used.
+    against all entities that hold a similar token. Entries of ``entities`` that stand for the same
+    one share the smallest id. A spelling that fits several entities equally (a surname that
+    relatives share) goes to the one with the most unambiguous mentions, among equals to the best
+    score; where these are equal too, nothing tells the entities apart and it goes to none. Null and
+    blank spellings, links, handles and unknown names yield no row; types are not used.
     """
     listed = entities.where("entity_id is not null").select("entity_id", "entity_type", "canonical_name", "aliases")
     owned = materialise(_tokenised_names(listed), "entity-names")
@@ -333,7 +299,7 @@ def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     leads = F.countDistinct(F.when((F.col("at") == 0) & (F.col("n") > 1), F.col("holder")))
     frequency = words.groupBy("token").agg(F.countDistinct("holder").alias("df"), leads.alias("leads"))
     given = (F.col("df") >= 3) & (F.col("leads") >= 0.5 * F.col("df")) & (F.length("token") > 1)
-    frequency = materialise(frequency.select("token", "df", given.alias("given"), (F.col("df") <= FEW).alias("few")), "token-frequency")
+    frequency = materialise(frequency.select("token", "df", given.alias("given")), "token-frequency")
 
     spelled = mentions.where("surface_form is not null").groupBy(F.col("surface_form").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
     spelled = materialise(_forms(spelled), "spellings")
@@ -344,14 +310,13 @@ def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     tokens = forms.select("form", F.posexplode(F.split("form", " ")).alias("at", "token"))
     long = (F.length("token") >= 4) & ~F.startswith("token", F.lit(_ACRONYM))
     alike = similar_tokens(tokens.where(long).select("token").distinct(), frequency.where(long)).unionByName(short)
-    expanded = (
-        alike.join(tokens.withColumnRenamed("token", "l"), "l").select("form", "at", F.col("r").alias("token")).unionByName(tokens.select("form", "at", "token"))
-        .unionByName(tokens.where(F.length("token").between(2, MOST_INITIALS)).select("form", "at", F.concat(F.lit(_ACRONYM), "token").alias("token")))
-        .join(frequency.select("token", "few"), "token", "left")
-        .select("form", "at", "token", F.coalesce("few", F.lit(True)).alias("few"))
+    keys = (
+        alike.join(tokens.withColumnRenamed("token", "l"), "l").select("form", F.col("r").alias("key"))
+        .unionByName(tokens.where(F.length("token") > 1).select("form", F.col("token").alias("key")))
+        .unionByName(tokens.where(F.length("token").between(2, MOST_INITIALS)).select("form", F.concat(F.lit(_ACRONYM), "token").alias("key")))
+        .unionByName(forms.select("form", _sorted("form").alias("key")))
     )
-    per_form = expanded.groupBy("form").agg(F.collect_set(F.struct("at", "token", "few")).alias("tokens"))
-    candidates = _keys(per_form, "form").join(_index(names, frequency), "key").select("form", "holder").distinct()
+    candidates = keys.join(_index(names), "key").select("form", "holder").distinct()
 
     weighed = _written(tokens.join(frequency, "token", "left"), ["form"], "own", short)
     profile = _written(words.join(frequency, "token"), ["holder", "form"], "one").groupBy("holder").agg(F.array_join(F.array_sort(F.collect_list("one")), "|").alias("names"))
@@ -373,7 +338,10 @@ def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     top = fit.withColumn("best", F.max("score").over(rows)).where("score >= best - 0.03").withColumn("rivals", F.count(F.lit(1)).over(rows))
     top = materialise(top.join(forms.where("n > 0"), "form"), "form-fits")
     popular = top.where("rivals = 1").groupBy("group_id").agg(F.sum("n").alias("popularity"))
-    first = F.min_by(F.struct("group_id", "score"), F.struct((-F.coalesce("popularity", F.lit(0))).alias("p"), (-F.col("score")).alias("s"), "group_id"))
-    best = top.join(popular, "group_id", "left").groupBy("form").agg(first.alias("b")).select("form", F.col("b.group_id").alias("entity_id"), F.col("b.score").alias("score"))
+    weight = (F.coalesce("popularity", F.lit(0)).alias("p"), F.col("score").alias("s"))
+    first = F.min_by(F.struct("group_id", "score"), F.struct(*(-w for w in weight), F.col("group_id")))
+    last = F.max_by("group_id", F.struct(*weight, F.col("group_id")))
+    best = top.join(popular, "group_id", "left").groupBy("form").agg(first.alias("b"), last.alias("last")).where("b.group_id = last")
+    best = best.select("form", F.col("b.group_id").alias("entity_id"), F.col("b.score").alias("score"))
     found = spelled.join(best, "form").select(F.col("surface").alias("surface_form"), "entity_id", "score")
     return mentions.select("mention_id", "surface_form").join(found, "surface_form").select("mention_id", "entity_id", "score")

@@ -41,6 +41,18 @@ def test_names_of_common_tokens_only(spark):
     assert found == {i: full[i % 100][0] for i in range(300)}
 
 
+def test_a_token_of_many_names_drops_no_partner(spark):
+    given = "Anna Bruno Clara Diego Elena Fabio Greta Hanno Irma Jonas Katja Lukas".split()
+    people = [(f"P{i:02d}", f"{g} {m} Albrecht", "PERSON", None) for i, (g, m) in enumerate(zip(given, "Xenia Pavel Ottilie Quirin Runa Sveva Tibor Ulla Vito Wanda Yara Zdenko".split()))]
+    people += [(f"R{i:02d}", f"{g} Bernardi", "PERSON", None) for i, g in enumerate(given)]
+    firms = [(f"Q{i:02d}", f"{x} Research Institute", "ORG", None) for i, x in enumerate("Tamluhamosk Lumvadezto Kestsogonez Holcelenier Weskinupin Fruflimuxaud Brufokorga Drawefiloux Rasvalenard Kargrodezot".split())]
+    e = spark.createDataFrame(people + firms, "entity_id string, canonical_name string, entity_type string, aliases array<string>")
+    forms = [f"{g} Albrecht" for g in given] + ["Bernardi", "Olga Albrecht", "Dolphatunier RI", "Greta Bernardi"]
+    m = spark.createDataFrame(list(enumerate(forms)), "mention_id bigint, surface_form string")
+    found = {r.mention_id: r.entity_id for r in link_mentions(m, e).collect()}
+    assert found == {**{i: f"P{i:02d}" for i in range(12)}, 12: "R06", 15: "R06"}
+
+
 def test_short_forms_are_learned(spark):
     family = "Albrecht Bernardi Castellan".split()
     people = [(f"P{i}", f"Margaret {f}", "PERSON", None) for i, f in enumerate(family)] + [("P8", "Olga Castellan", "PERSON", None), ("P9", "Nadia Fontaine", "PERSON", None)]
