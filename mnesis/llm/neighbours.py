@@ -182,6 +182,7 @@ class _Block:
         n = len(self.X)
         rows, cols, sims = [], [], []
         step = max(1, 1_000_000 // max(n, 1))
+        rounding = np.float32(2 * self.X.shape[1] * np.finfo(np.float32).eps)  # of two inner products of unit vectors
         for lo in range(0, len(Q), step):
             q = Q[lo : lo + step]
             centred = (q - self.centre) @ self.rotation
@@ -191,9 +192,12 @@ class _Block:
                 estimate[np.arange(len(q)), own[lo : lo + step]] = -np.inf
             if n > k + 1:
                 sure = np.partition(estimate - slack, n - k, axis=1)[:, n - k]  # the k-th best lower bound
+                # of what reaches it, only what single precision can't tell from the k-th best or better
+                near = q @ self.X.T
+                near[estimate + slack < sure[:, None]] = -np.inf
+                r, c = np.nonzero(near >= np.partition(near, n - k, axis=1)[:, n - k, None] - rounding)
             else:
-                sure = np.full(len(q), -np.inf)
-            r, c = np.nonzero((estimate + slack >= sure[:, None]) & (estimate > -np.inf))
+                r, c = np.nonzero(estimate > -np.inf)
             exact = np.einsum("ij,ij->i", q[r].astype(np.float64), self.X[c].astype(np.float64))
             order = np.lexsort((self.order[c], -exact, r))
             r, c, exact = r[order], c[order], exact[order]

@@ -127,3 +127,20 @@ def test_rows_of_a_cell_do_not_grow_with_the_table():
         met.append(float(np.mean(np.bincount(own)[own])))
         assert len(cells.centres) == 20 and len(cells.residuals) == n // 1000
     assert met[1] < 1.4 * met[0]
+
+
+def test_only_the_best_rows_are_compared_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(1200, 64)).astype(np.float32)
+    X[1:9] = X[0]
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    b = N._Block(np.array([f"{i:04d}" for i in range(1200)]), X, N.fit_cells(X, 1200).rotation)
+    compared, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda s, x, y: compared.append(len(x)) or einsum(s, x, y))
+    r, c, _ = b.search(b.ids, X, np.arange(1200), 5)
+    assert sum(compared) < 1.1 * 5 * 1200
+    S = X.astype(float) @ X.T.astype(float)
+    np.fill_diagonal(S, -2)
+    want = [set(np.lexsort((np.arange(1200), -S[i].round(9)))[:5]) for i in range(1200)]
+    assert want[0] == {1, 2, 3, 4, 5} == set(c[r == 0]) and set(c[r == 8]) == {0, 1, 2, 3, 4}
+    assert sum(len(want[i] & set(c[r == i])) for i in range(1200)) / (5 * 1200) > 0.99
