@@ -76,7 +76,7 @@ def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
 def shared_by_several(edges: DataFrame, artifacts: DataFrame, ratio: float = 0.7) -> DataFrame:
     """``artifact_id, episode, score``: artifacts that belong to two episodes or more about as well as to the best.
 
-    ``edges``: ``episode, entity, weight``; ``artifacts``: a stated set, ``artifact_id, entities``. The score is the weight of
+    ``edges``: ``episode, entity, weight``; ``artifacts``: ``artifact_id, entities``. The score is the weight of
     the shared entities over the size of both sets together times the episode's largest weight.
     """
     sizes = edges.groupBy("episode").agg(F.count(F.lit(1)).alias("n_e"), F.max("weight").alias("top"))

@@ -82,20 +82,16 @@ def incremental_edges(spark, d):
     return enrich.add_edges(*[graph.edges(a.where(half == i), "episode", "entities") for i in (0, 1)])
 
 
-_QUERY_SET = "try_cast(regexp_extract(artifact_id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
-
-
 @query(
     f"""WITH {c._EDGES}, sz AS (SELECT episode, count(*) AS n_e, max(weight) AS top FROM edges GROUP BY episode),
-own AS (SELECT artifact_id, list_distinct(list_filter(list_transform(entities, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')) AS e FROM arts WHERE {_QUERY_SET}),
+own AS (SELECT artifact_id, list_distinct(list_filter(list_transform(entities, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> '')) AS e FROM arts),
 o AS (SELECT artifact_id, len(e) AS n_a, unnest(e) AS entity FROM own),
 b AS (SELECT artifact_id, episode, sum(weight) / ((any_value(n_a) + any_value(n_e) - count(*)) * any_value(top)) AS score FROM o JOIN edges USING (entity) JOIN sz USING (episode) GROUP BY ALL),
 r AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY artifact_id) AS best FROM b) WHERE score >= 0.7 * best - 1e-12), n AS (SELECT *, count(*) OVER (PARTITION BY artifact_id) AS k FROM r)
 SELECT artifact_id, episode, round(score, 6) AS score FROM n WHERE k >= 2"""
 )
 def multi_episode_artifacts(spark, d):
-    a = c.artifacts(spark, d).where("try_cast(regexp_extract(artifact_id, '([0-9]+)$', 1) as bigint) % 50 = 0").select("artifact_id", "entities")
-    return enrich.shared_by_several(c._edges(spark, d), a)
+    return enrich.shared_by_several(c._edges(spark, d), c.artifacts(spark, d).select("artifact_id", "entities"))
 
 
 @query(

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from mnesis.operators import enrich
+from mnesis.plans import further
 from mnesis.sources.writers import touch
 
 
@@ -37,3 +38,12 @@ def test_prepared_text(spark):
     df = spark.createDataFrame([("hi", list("abcde")), (None, None), ("  ", []), ("x" * 900, ["a"])], "c string, e array<string>")
     got = [r.t for r in df.select(enrich.prepared_text(F.col("c"), F.col("e")).alias("t")).collect()]
     assert got == ["hi [a, b, c, d]", ".", ".", "x" * 256]
+
+
+def test_every_artifact_of_the_table_may_belong_to_several_episodes(spark, tmp_path):
+    rows = [("art-000000001", ["budget"], "E1"), ("art-000000002", [" Budget ", None], "E2"), ("art-000000050", ["visa"], "E3"), ("art-000000051", None, "E3"), ("x", ["budget", "visa"], None)]
+    df = spark.createDataFrame(rows, "artifact_id string, entities array<string>, true_episode_id string")
+    df = df.selectExpr("*", "timestamp'2026-04-02' AS recorded_at", "'a' AS author", "'c' AS content", "0.5D AS importance", "'note' AS artifact_type", "'s' AS source")
+    df.union(df.limit(2)).write.parquet(str(tmp_path / "artifacts.parquet"))
+    got = sorted(tuple(r) for r in further.QUERIES["multi_episode_artifacts"](spark, str(tmp_path)).collect())
+    assert got == [("art-000000001", "E1", 1.0), ("art-000000001", "E2", 1.0), ("art-000000002", "E1", 1.0), ("art-000000002", "E2", 1.0), ("x", "E1", 0.5), ("x", "E2", 0.5), ("x", "E3", 0.5)]
