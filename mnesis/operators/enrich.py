@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnesis.functions.sets import tidy_entities
 from mnesis.functions.text import normalise_form
 from mnesis.functions.vectors import cosine
+from mnesis.shared import parallelism
 
 # Types that may stand for one another.
 ABSTRACT_TYPES = ["PROJECT", "EVENT", "PRODUCT", "DATE_EVENT", "DOCUMENT", "CONCEPT"]
@@ -73,19 +74,32 @@ def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     return edges.unionByName(more).groupBy("episode", "entity").agg(F.sum("weight").alias("weight"))
 
 
+def _spread_join(small: DataFrame, large: DataFrame, key: str, by: str) -> DataFrame:
+    """Join of keys that may be few and hot: ``large`` is dealt by ``by`` into parts of each key, ``small`` goes to the parts that occur."""
+    n = parallelism(large.sparkSession)
+    large = large.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(n)))
+    copies = small.join(large.select(key, "_part").distinct(), key)
+    return copies.join(large.repartition(n, key, "_part"), [key, "_part"]).drop("_part")
+
+
 def shared_by_several(edges: DataFrame, artifacts: DataFrame, ratio: float = 0.7) -> DataFrame:
     """``artifact_id, episode, score``: artifacts that belong to two episodes or more about as well as to the best.
 
     ``edges``: ``episode, entity, weight``; ``artifacts``: ``artifact_id, entities``. The score is the weight of
-    the shared entities over the size of both sets together times the episode's largest weight.
+    the shared entities over the size of both sets together times the episode's largest weight. It is the same for
+    all artifacts of one set of entities: each different set meets the edges once, named by its smallest artifact.
     """
-    sizes = edges.groupBy("episode").agg(F.count(F.lit(1)).alias("n_e"), F.max("weight").alias("top"))
-    own = artifacts.withColumn("_own", F.array_distinct(tidy_entities(F.col("entities")))).select("artifact_id", F.size("_own").alias("n_a"), F.explode("_own").alias("entity"))
-    both = own.join(edges, "entity").groupBy("artifact_id", "n_a", "episode").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("shared")).join(sizes, "episode")
-    both = both.withColumn("score", F.col("w") / ((F.col("n_a") + F.col("n_e") - F.col("shared")) * F.col("top")))
-    w = Window.partitionBy("artifact_id")
+    own = artifacts.select("artifact_id", F.array_sort(tidy_entities(F.col("entities"))).alias("_own")).where(F.size("_own") > 0)
+    sets = own.groupBy("_own").agg(F.min("artifact_id").alias("_set"))
+    e = Window.partitionBy("episode")
+    sized = edges.withColumns({"n_e": F.count(F.lit(1)).over(e), "top": F.max("weight").over(e)})
+    both = _spread_join(sets.select("_set", F.size("_own").alias("n_a"), F.explode("_own").alias("entity")), sized, "entity", "episode").repartition(parallelism(edges.sparkSession), "_set")
+    both = both.groupBy("_set", "n_a", "episode", "n_e", "top").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("shared"))
+    both = both.select("_set", "episode", (F.col("w") / ((F.col("n_a") + F.col("n_e") - F.col("shared")) * F.col("top"))).alias("score"))
+    w = Window.partitionBy("_set")
     near = both.withColumn("_best", F.max("score").over(w)).where(F.col("score") >= ratio * F.col("_best") - 1e-12)
-    return near.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n >= 2").select("artifact_id", "episode", F.round("score", 6).alias("score"))
+    near = near.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n >= 2").select("_set", "episode", F.round("score", 6).alias("score"))
+    return _spread_join(near.join(sets, "_set").drop("_set"), own, "_own", "artifact_id").select("artifact_id", "episode", "score")
 
 
 def index_candidates(episodes: DataFrame, edges: DataFrame, query_vec: Column, entities: list[str], k: int = 20) -> DataFrame:
